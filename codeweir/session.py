@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df once in the shared checkpoint folder, so that lost executors never cause a recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def write_shared(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Write df once as a table in the shared checkpoint folder and read it back: lineage ends there, and later readers
+    take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
