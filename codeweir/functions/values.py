@@ -175,3 +175,24 @@ def ranked_answer(text: str | None) -> list[dict] | None:
 @F.pandas_udf(ArrayType(StructType([StructField("id", StringType()), StructField("score", DoubleType()), StructField("reason", StringType())])))
 def parse_ranking(s: pd.Series) -> pd.Series:
     return s.map(ranked_answer)
+
+
+#: Sections given up first when a context is over its budget.
+GIVEN_UP = ("callers", "types", "dependencies", "members", "fields")
+
+
+def within_budget(sections: dict[str, str], most: int) -> dict[str, str]:
+    """Sections cut in rounds, the longest first, to 65 % of their length but not below 160 characters; when nothing is
+    left to cut, sections are dropped in the order of GIVEN_UP."""
+    held = {k: v for k, v in sections.items() if v}
+    while sum(map(len, held.values())) > most:
+        longest = max(held, key=lambda k: len(held[k]))
+        size = max(160, len(held[longest]) * 65 // 100)
+        if size < len(held[longest]):
+            held[longest] = held[longest][: size * 7 // 10] + held[longest][-(size - size * 7 // 10) :]
+            continue
+        drop = next((k for k in GIVEN_UP if k in held), None)
+        if drop is None:
+            break
+        del held[drop]
+    return held

@@ -62,3 +62,18 @@ def deltas(base: DataFrame, other: DataFrame, band: float = 0.001) -> DataFrame:
     delta = F.round(F.col("candidate") - F.col("baseline"), 6)
     way = F.when(delta > band, "better").when(delta < -band, "worse").otherwise("unchanged")
     return joined.select("metric", "baseline", "candidate", delta.alias("delta"), way.alias("direction"))
+
+
+def match_judgments(ranking: DataFrame, judgments: DataFrame) -> DataFrame:
+    """ranking(task, repository, symbol, place), judgments(task, repository, symbol, grade, seq) -> the ranking with grades:
+    the equal symbol, else the first judgment (by seq) of the repository whose symbol ends with, contains or is
+    contained in the candidate's. Repositories are compared without their prefix."""
+    bare = F.regexp_replace("repository", "^.*/", "")
+    r = ranking.withColumn("repository", bare)
+    j = judgments.withColumn("repository", bare)
+    exact = j.select("task", "repository", "symbol", F.col("grade").alias("equal"))
+    loose = r.join(j.withColumnRenamed("symbol", "other"), ["task", "repository"])
+    loose = loose.where(F.col("symbol").contains(F.col("other")) | F.col("other").contains(F.col("symbol")))
+    first = loose.groupBy("task", "repository", "symbol").agg(F.min_by("grade", "seq").alias("near"))
+    keys = ["task", "repository", "symbol"]
+    return r.join(exact, keys, "left").join(first, keys, "left").select(*keys, "place", F.coalesce("equal", "near", F.lit(0)).alias("grade"))

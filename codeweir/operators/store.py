@@ -68,3 +68,35 @@ def alias_audit(manifests: DataFrame, symbols: DataFrame, prefix: str = "fixture
     per = own.groupBy("repository", "name").agg(F.count("*").alias("n"), F.max(F.when(F.length(F.coalesce("summary", F.lit(""))) > 0, 1).otherwise(0)).alias("documented"))
     finding = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate").when(F.col("documented") == 0, "undocumented").otherwise("ok")
     return a.join(per, ["repository", "name"], "left").select("repository", "name", "alias", finding.alias("finding"))
+
+
+def repository_status(manifests: DataFrame, files: DataFrame, symbols: DataFrame, prefix: str = "fixture/") -> DataFrame:
+    """(repository, status): missing without files, unindexed without symbols, stale if a file is newer than the index."""
+    r = manifests.select(F.concat(F.lit(prefix), "repository").alias("repository")).distinct()
+    newest = files.groupBy("repository").agg(F.max("scanned_at").alias("newest"))
+    indexed = symbols.groupBy("repository").agg(F.max("indexed_at").alias("indexed"))
+    status = F.when(F.col("newest").isNull(), "missing").when(F.col("indexed").isNull(), "unindexed").when(F.col("newest") > F.col("indexed"), "stale").otherwise("indexed")
+    return r.join(newest, "repository", "left").join(indexed, "repository", "left").select("repository", status.alias("status"))
+
+
+def module_tree(symbols: DataFrame) -> DataFrame:
+    """(repository, parent, node, kind, place): the flattened tree; in a parent folders come first, then files, then
+    symbols, each by name."""
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    up = F.regexp_replace("node", r"/?[^/]*$", "")
+    f = symbols.where(F.size(parts) > 1).select("repository", F.explode(folders).alias("node")).distinct().select("repository", up.alias("parent"), "node", F.lit("folder").alias("kind"))
+    p = symbols.select("repository", F.col("path").alias("node")).distinct().select("repository", up.alias("parent"), "node", F.lit("file").alias("kind"))
+    s = symbols.select("repository", F.col("path").alias("parent"), F.col("id").alias("node"), "kind").distinct()
+    rank = F.when(F.col("kind") == "folder", 0).when(F.col("kind") == "file", 1).otherwise(2)
+    w = Window.partitionBy("repository", "parent").orderBy(rank, "node")
+    return f.unionByName(p).unionByName(s).withColumn("place", F.row_number().over(w))
+
+
+def nearest_symbol(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(request_id, id): of the symbols of the request's file, the one whose line is nearest; the earlier on a tie."""
+    part = lambda c, i: F.element_at(F.split(c, ":"), i)
+    own = symbols.select("id", part(F.col("id"), 1).alias("r"), "path", part(F.col("id"), 3).cast("int").alias("line"))
+    t = F.col("target_symbol")
+    r = requests.select("request_id", part(t["id"], 1).alias("r"), t["path"].alias("path"), t["line_no"].alias("at"))
+    return r.join(own, ["r", "path"]).groupBy("request_id").agg(F.min_by("id", F.struct(F.abs(F.col("line") - F.col("at")), "line", "id")).alias("id"))

@@ -382,6 +382,28 @@ def file_scan(spark, sf):
     return f.select("repository", "path", store.language_of(p).alias("code_language"), store.is_test_path(p).alias("is_test"), store.is_skipped(p).alias("skipped"))
 
 
+@query(f"""SELECT r.repository, CASE WHEN newest IS NULL THEN 'missing' WHEN indexed IS NULL THEN 'unindexed' WHEN newest > indexed THEN 'stale' ELSE 'indexed' END AS status
+    FROM (SELECT DISTINCT 'fixture/' || repository AS repository FROM corpus_manifests) r LEFT JOIN (SELECT repository, max(scanned_at) AS newest FROM source_files GROUP BY 1) f USING (repository)
+    LEFT JOIN (SELECT repository, max(indexed_at) AS indexed FROM code_symbols GROUP BY 1) s USING (repository)""")
+def repository_status(spark, sf):
+    return store.repository_status(*(table(spark, sf, n) for n in ("corpus_manifests", "source_files", "code_symbols")))
+
+
+@query(r"""WITH s AS (SELECT DISTINCT repository, path, id, kind FROM code_symbols),
+    n AS (SELECT DISTINCT repository, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') AS node, 'folder' AS kind FROM s, range(1, 12) t(i) WHERE i < len(string_split(path, '/'))
+        UNION ALL SELECT DISTINCT repository, path, 'file' FROM s),
+    a AS (SELECT repository, regexp_replace(node, '/?[^/]*$', '') AS parent, node, kind FROM n UNION ALL SELECT repository, path, id, kind FROM s)
+    SELECT *, row_number() OVER (PARTITION BY repository, parent ORDER BY CASE kind WHEN 'folder' THEN 0 WHEN 'file' THEN 1 ELSE 2 END, node) AS place FROM a""")
+def module_tree(spark, sf):
+    return store.module_tree(table(spark, sf, "code_symbols").select("repository", "path", "id", "kind"))
+
+
+@query("""SELECT request_id, min_by(s.id, (abs(line - target_symbol.line_no), line, s.id)) AS id FROM search_requests r JOIN (SELECT DISTINCT id, path, split_part(id, ':', 1) AS repo, CAST(split_part(id, ':', 3) AS INT) AS line FROM code_symbols) s
+    ON split_part(r.target_symbol.id, ':', 1) = s.repo AND r.target_symbol.path = s.path GROUP BY request_id""")
+def nearest_symbol(spark, sf):
+    return store.nearest_symbol(table(spark, sf, "search_requests"), table(spark, sf, "code_symbols").select("id", "path").distinct())
+
+
 @query()
 def symbol_extract(spark, sf):
     f = table(spark, sf, "source_files").select("repository", "path", "file_text").dropDuplicates(["repository", "path"])

@@ -86,3 +86,22 @@ def test_filters_reach_the_scan(spark, tmp_path):
     spark.range(10).selectExpr("id", "'Java' code_language", "'class' kind", "'r' repository").write.parquet(path)
     plan = search.filtered(spark.read.parquet(path), languages=["Java", "Go"], kinds=["class"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "In(code_language" in plan
+
+
+def test_fuzzy_judgments(spark):
+    r = spark.createDataFrame([("t", "fixture/a", "Big.Reader", 1), ("t", "a", "Writer", 2), ("t", "b", "Reader", 3)], "task string, repository string, symbol string, place int")
+    j = spark.createDataFrame([("t", "a", "Reader", 2, 1), ("t", "a", "Big", 3, 2), ("t", "a", "Writer", 1, 3)], "task string, repository string, symbol string, grade int, seq int")
+    assert [x["grade"] for x in evaluate.match_judgments(r, j).orderBy("place").collect()] == [2, 1, 0]
+
+
+def test_incremental_index(spark, tmp_path):
+    from codeweir.session import checkpoint_dir
+    from codeweir.streaming import index
+
+    checkpoint_dir(spark)
+    schema = "id string, v int, indexed_at timestamp, ingest_batch int"
+    at = lambda n: f"timestamp'2024-01-0{n} 00:00:00'"
+    for n, rows in ((1, f"values ('a', 1, {at(2)}, 1), ('b', 1, {at(2)}, 1)"), (2, f"values ('a', 2, {at(3)}, 2), ('b', 0, {at(1)}, 2), ('c', 5, {at(3)}, 2)")):
+        spark.sql(f"select * from {rows} t(id, v, indexed_at, ingest_batch)").write.mode("append").parquet(str(tmp_path / "in"))
+        index.start(spark, str(tmp_path / "in"), schema, str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
+    assert {r["id"]: r["v"] for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {"a": 2, "b": 1, "c": 5}

@@ -84,3 +84,10 @@ def test_readers(spark, tmp_path):
 def test_paths(spark):
     df = spark.createDataFrame([("src/test/A.java",), ("src/a_test.go",), ("src/contest/A.java",)], "p string")
     assert [r[0] for r in df.select(store.is_test_path(F.col("p"))).collect()] == [True, True, False]
+
+
+def test_budget():
+    s = {"target": "t" * 100, "callers": "c" * 1000, "fields": "f" * 300}
+    cut = V.within_budget(s, 600)
+    assert sum(map(len, cut.values())) <= 600 and set(cut) == set(s)
+    assert set(V.within_budget(s, 300)) == {"target", "fields"} and V.within_budget(s, 50) == {"target": "t" * 100}
