@@ -94,7 +94,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": "SELECT DISTINCT id, field FROM (SELECT id, 'content' AS field, content AS t FROM code_symbols UNION ALL SELECT id, 'search_text', search_text FROM code_symbols) WHERE length(t) > 6000",
         "p3_found": """
             WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM symbol_vectors WHERE len(embedding) = 64),
-                 f AS (SELECT * FROM u WHERE len(list_filter(v, x -> isfinite(x))) = 64 AND len(list_filter(v, x -> x <> 0)) > 0),
+                 f AS (SELECT * FROM u WHERE len(list_filter(v, lambda x: isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
                  s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM f a JOIN f b ON a.vec_id <> b.vec_id),
                  r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s)
             SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE n <= 10 AND s >= 0.95""",
