@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweir.functions.text import overlap, search_tokens
+from codeweir.session import write_shared
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"semantic": 0.65, "text": 0.35}
@@ -41,19 +42,59 @@ def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """queries(qid, tokens), docs(id, tokens) -> (qid, id, score, place): BM25 over an inverted list, the best k a query.
-    Documents that share no token are not given. Lists are joined by token, so no pair without one is ever made."""
-    n = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg"))
-    posts = docs.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("t"))
-    df = posts.groupBy("t").agg(F.count("*").alias("df"))
-    terms = queries.select("qid", F.explode("tokens").alias("t")).join(df, "t").crossJoin(F.broadcast(n))  # n is one row
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+    """queries(qid, tokens), docs(id, tokens) -> (qid, id, score, place): BM25 over inverted lists, the best k a query.
+    Documents that share no token are not given.
+
+    As in vector_topk, blocks of queries meet blocks of documents; each pair of blocks sums the lists of a query's tokens
+    and keeps k, and a window merges the blocks. No row is made for a pair of query and document that is not kept."""
+    docs = write_shared(docs.select("id", "tokens"))
+    n = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg"))  # one row
+    nq, nd = (max(1, -(-x.count() // block)) for x in (queries, docs))
+    asked = queries.select("qid", F.explode("tokens").alias("t"))
+    df = docs.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = terms.select("qid", "t", idf.alias("idf"), "avg")
-    part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = terms.join(posts, "t").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    terms = asked.join(df, "t").crossJoin(F.broadcast(n)).select("qid", "t", idf.alias("idf"))
+    q = terms.groupBy("qid").agg(F.collect_list(F.struct("t", "idf")).alias("e")).select("qid", F.col("e.t").alias("t"), F.col("e.idf").alias("idf"))
+    q = q.select(F.pmod(F.hash("qid"), F.lit(nq)).alias("qb"), "qid", "t", "idf").withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
+    weight = (K1 + 1) / (1 + K1 * (1 - B + B * F.size("tokens") / F.col("avg")))
+    d = docs.crossJoin(F.broadcast(n)).select(F.pmod(F.hash("id"), F.lit(nd)).alias("db"), "id", "tokens", weight.alias("w"))
+    d = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        frame = lambda q, i, s: pd.DataFrame({"qid": pd.Series(q, dtype=object), "id": pd.Series(i, dtype=object), "score": pd.Series(s, dtype=float)})
+        if not len(a) or not len(b):
+            return frame([], [], [])
+        b = b.sort_values("id")
+        ids, weights = b["id"].to_numpy(), b["w"].to_numpy(float)
+        size = b["tokens"].map(len).to_numpy()
+        term, names = pd.factorize(np.concatenate(b["tokens"].to_numpy()))
+        order = np.argsort(term, kind="stable")
+        members = np.repeat(np.arange(len(b)), size)[order]
+        edges = np.searchsorted(term[order], np.arange(len(names) + 1))
+        lists = {t: members[i:j] for t, i, j in zip(names, edges[:-1], edges[1:])}
+        qids, near_ids, scores = [], [], []
+        for qid, ts, idfs in zip(a["qid"], a["t"], a["idf"]):
+            met = [(lists[t], x) for t, x in zip(ts, idfs) if t in lists]
+            if not met:
+                continue
+            parts = np.repeat([x for _, x in met], [len(m) for m, _ in met])
+            total = np.bincount(np.concatenate([m for m, _ in met]), parts, len(b)) * weights
+            hit = np.flatnonzero(total > 0)
+            score = np.round(total[hit], 6)
+            if len(hit) > k:  # all that tie with the last one stay until ids decide
+                near = score >= np.partition(score, len(score) - k)[len(score) - k]
+                hit, score = hit[near], score[near]
+            first = np.lexsort((hit, -score))[:k]
+            qids += [qid] * len(first)
+            near_ids += ids[hit[first]].tolist()
+            scores += score[first].tolist()
+        return frame(qids, near_ids, scores)
+
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
+    found = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(best, kinds)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def text_normalised(scored: DataFrame) -> DataFrame:

@@ -160,9 +160,9 @@ _BM25 = f"""d AS (SELECT id, {_tokens("title || chr(10) || signature || chr(10)
 
 
 def _bm25(spark, sf):
-    q = table(spark, sf, "search_requests").select(F.col("request_id").alias("qid"), T.search_tokens(F.concat_ws("\n", "target_symbol.name", F.coalesce("requirement", F.lit("")))).alias("tokens"))
-    d = _symbols(spark, sf).select("id", T.search_tokens(F.concat_ws("\n", "title", "signature", F.coalesce("summary", F.lit("")))).alias("tokens"))
-    return search.bm25(q, d)
+    """The whole search text on both sides, as the surveyed index has it. The SQL above still has the shorter texts."""
+    q = table(spark, sf, "search_requests").select(F.col("request_id").alias("qid"), T.search_tokens(search.query_text()).alias("tokens"))
+    return search.bm25(q, _symbols(spark, sf).select("id", T.search_tokens(search.document_text()).alias("tokens")))
 
 
 @query(f"WITH {_BM25} SELECT qid, id, score, place FROM r WHERE place <= 10")

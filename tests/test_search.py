@@ -105,3 +105,34 @@ def test_incremental_index(spark, tmp_path):
         spark.sql(f"select * from {rows} t(id, v, indexed_at, ingest_batch)").write.mode("append").parquet(str(tmp_path / "in"))
         index.start(spark, str(tmp_path / "in"), schema, str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
     assert {r["id"]: r["v"] for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {"a": 2, "b": 1, "c": 5}
+
+
+def test_text_search_reads_every_field(spark, tmp_path):
+    from codeweir.plans import queries as core
+
+    own = "id string, title string, repository string, path string, signature string, summary string, content string, preview string, dependencies array<string>, indexed_at timestamp, ingest_batch int"
+    empty = {"title": "t", "repository": "r", "path": "p", "signature": "s", "summary": None, "content": None, "preview": "v", "dependencies": None}
+    said = {"repository": "xrepo", "path": "xpath", "content": "xbody", "preview": "xview", "dependencies": ["xlib"], "summary": "xsum"}
+    rows = [tuple([k, *{**empty, k: v}.values(), None, 1]) for k, v in said.items()]
+    spark.createDataFrame(rows, own).write.parquet(f"{tmp_path}/code_symbols.parquet")
+    words = ["xrepo", "xpath", "xbody", "xview", "xlib", "xsum"]
+    target = "struct<name:string,signature:string,documentation:string,kind:string,code_language:string,path:string>"
+    ask = [(i, tuple(w if j == i else "none" for j in range(6)), "none") for i, w in enumerate(words)]
+    spark.createDataFrame(ask, f"request_id long, target_symbol {target}, requirement string").write.parquet(f"{tmp_path}/search_requests.parquet")
+    got = {r["qid"]: r["id"] for r in core.text_topk_bm25(spark, str(tmp_path)).collect()}
+    assert got == {0: "repository", 1: "path", 2: "content", 3: "preview", 4: "dependencies", 5: "summary"}
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_bm25_in_blocks_against_all_pairs(spark, block):
+    rng = np.random.default_rng(3)
+    texts = {f"d{i:02}": sorted({f"w{j}" for j in rng.integers(0, 12, 4)}) for i in range(40)} | {"empty": []}
+    asked = {i: sorted({f"w{j}" for j in rng.integers(0, 14, 3)}) for i in range(7)}
+    n, avg = len(texts), sum(map(len, texts.values())) / len(texts)
+    df = {w: sum(w in t for t in texts.values()) for t in texts.values() for w in t}
+    want = set()
+    for q, ws in asked.items():
+        score = {d: round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(t) / avg)) for w in ws if w in t), 6) for d, t in texts.items() if set(ws) & set(t)}
+        want |= {(q, d, p + 1) for p, d in enumerate(sorted(score, key=lambda d: (-score[d], d))[:5])}
+    frames = spark.createDataFrame(list(asked.items()), "qid long, tokens array<string>"), spark.createDataFrame(list(texts.items()), "id string, tokens array<string>")
+    assert {(r["qid"], r["id"], r["place"]) for r in search.bm25(*frames, k=5, block=block).collect()} == want
