@@ -78,20 +78,26 @@ _scripts = re.compile(
     r"|включите java ?script|java ?script\s*を\s*(?:有効|オン)|(?:启用|开启|打开|启动|允许)\s*(?:java ?script|脚本)|スクリプト\s*(?:を|が)\s*(?:有効|オン|必要|無効)|включите (?:скрипты|сценарии)|java ?script\s*(?:已被?禁用|未启用)|无法?在没有\s*java ?script|java ?script\s*が(?:無効|必要)",
     re.I,
 )
-#: Words of which one is in every passage that a pattern of the kind can match.
+#: Words of which one is in every passage that a pattern of the kind can match, but for what TRIGGERS finds.
 LITERALS = {
     "missing": ["undefined", "null", "nan", "none", "nil"],
-    "filler": ["text goes", "content goes", "description goes", "summary goes", "title goes", "comes here", "insert ", "replace this", "placeholder", "to follow", "coming soon", "viendra",
-               "paragraph one", "paragraph two", "paragraph three", "headline", "teaser", "this space", "dummy", "sample ", "filler", "hier ", "texto", "здесь", "此处", "ここに", "bla ", "blah", "asdf",
-               "qwer", "yxcv", "zxcv", "hjkl", "text text", *(3 * c for c in "abcdefghijklmnopqrstuvwxyz")],
+    "filler": ["lorem ipsum", "text goes", "content goes", "description goes", "summary goes", "title goes", "comes here", "insert ", "replace this", "placeholder", "to follow", "coming soon", "viendra",
+               "paragraph one", "paragraph two", "paragraph three", "headline", "teaser", "this space", "dummy", "sample ", "filler", "hier ", "texto", "здесь", "此处", "ここに", "bla", "blah", "asdf",
+               "qwer", "yxcv", "zxcv", "jkl", "uiop"],
     "error": ["bad request", "unauthorized", "payment required", "forbidden", "found", "not allowed", "timeout", "time-out", "gone", "too many requests", "server error", "not implemented", "bad gateway", "unavailable",
               "looking for", "no usable", "upstream", "page you", "permission", "lack the rights", "authori", "access denied", "temporarily", "maintenance", "went wrong", "oops", "too long to load", "unhandled",
               "cannot be displayed", "session has", "start page", "been moved", "err_", "error", "<title>", "nicht gefunden", "fehler", "gina ", "enlace", "introuvable", "demandée", "erreur", "erro ",
               "страниц", "ошибка", "页", "ページ", "エラー", "错误", '"status"', '"code"', '"statuscode"'],
     "scripts": ["script", "скрипт", "сценари", "脚本", "スクリプト", "robot", "cookies"],
-    "latin": ["lorem", "sollem", "amitum", "quiral", "tarpis", "consel", "egesta", "urbatum", "viscel", "nectis"],
+    "latin": sorted(LATIN),
 }
-_marks = re.compile(r"[{<\[%«$@]|__|&lt;")
+#: Passages without a fixed word. A removed quotation can bring words together, so lines with one are looked at for repeats.
+TRIGGERS = {
+    "marks": re.compile(r"[{<\[%«$@]|__|&lt;"),
+    "again": re.compile(r"\b(\w{2,12})(?:[^\S\n]|,)+\1\b|[`\"“„「]|(?<!\w)'", re.I),
+    "letters": re.compile(r"(?<!\w)([A-Za-z])\1+(?!\w)"),
+    "bare": re.compile(r"[45]\d\d"),
+}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -111,8 +117,9 @@ def normal(line: str) -> str:
     return re.sub(r"\d+", "0", " ".join(line.lower().split()))
 
 
-def evidence(text: str, boilerplate: frozenset[str] = frozenset()) -> list[str]:
-    """The kinds of evidence in a text. Only lines that hold a mark or a literal of a kind meet that kind's patterns."""
+def evidence(text: str, boilerplate: frozenset[str] = frozenset(), every_line: bool = False) -> list[str]:
+    """The kinds of evidence in a text. Only lines that hold a trigger or a literal of a kind meet that kind's patterns,
+    unless every line is asked for, which gives the same."""
     if not text or text.isspace():
         return []
     if "\r" in text:
@@ -124,8 +131,12 @@ def evidence(text: str, boilerplate: frozenset[str] = frozenset()) -> list[str]:
     low = text.lower()
     if len(low) != len(text):
         low = text
-    places = [("marks", m.start()) for m in _marks.finditer(text)]
-    places += [(kind, end) for end, kind in _literals.iter(low)]
+    if every_line:
+        starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        places = [(kind, at) for kind in (*TRIGGERS, *LITERALS) for at in starts]
+    else:
+        places = [(kind, m.start()) for kind, trigger in TRIGGERS.items() for m in trigger.finditer(text)]
+        places += [(kind, end) for end, kind in _literals.iter(low)]
     if not places:
         return []
     found, lines = set(), {}
@@ -143,8 +154,14 @@ def evidence(text: str, boilerplate: frozenset[str] = frozenset()) -> list[str]:
             found.add("placeholder")
         elif kind == "missing" and _missing.search(plain):
             found.add("placeholder")
-        elif kind == "filler" and "filler" not in found and (_filler.search(plain) or _keyboard.search(plain) or _letters.search(plain) or _again.search(plain)):
+        elif kind == "filler" and "filler" not in found and (_filler.search(plain) or _keyboard.search(plain)):
             found.add("filler")
+        elif kind == "again" and "filler" not in found and _again.search(plain):
+            found.add("filler")
+        elif kind == "letters" and "filler" not in found and _letters.search(plain):
+            found.add("filler")
+        elif kind == "bare" and "error" not in found and _bare.match(plain) and _little(text, boilerplate):
+            found.add("error")
         elif kind == "latin" and "filler" not in found and _latin(plain):
             found.add("filler")
         elif kind == "error" and "error" not in found:

@@ -219,3 +219,27 @@ def test_residue_table(spark):
     df = spark.createDataFrame([(1, "Menu\nForbidden", "s", "k"), (2, None, None, "k"), (3, "Menu\nreal text", "s", "k"), (4, "", "s", "k")], "doc_id long, text string, source string, kinds string")
     assert [(r["doc_id"], r["kinds"]) for r in residue.residue(df).collect()] == [(1, ["error"])]
     assert residue.residue(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("test test test test test", ["filler"]),
+        ("content content, content content content", ["filler"]),
+        ('x1 "a" x1 "b" x1 "c" x1 `d` x1', ["filler"]),
+        ("Bla, bla, bla.", ["filler"]),
+        ("xx xx xx xx", ["filler"]),
+        ("jkl jkl jkl", ["filler"]),
+        ("uiop uiop uiop", ["filler"]),
+        ("404", ["error"]),
+        ("well\n503\n", ["error"]),
+        ("dolor sit amet consectetur adipiscing elit", ["filler"]),
+        ("Lorem ipsum here", ["filler"]),
+        ("sed sed sed", ["filler"]),
+        ("test test test test\ntest", []),
+        ("> 404", []),
+        ("the the book of 404 pages, ii. aa.", []),
+    ],
+)
+def test_residue_filter_changes_no_evidence(text, kinds):
+    assert residue.evidence(text) == residue.evidence(text, every_line=True) == kinds
