@@ -2,8 +2,8 @@
 
 Each tree hashes a vector to a long bit string: bit i tells on which side of the median it lies along a direction
 between two vectors of a bounded sample (``SAMPLE`` vectors; only the directions and medians come from it, every vector
-is indexed). The strings of a tree form one sorted array, laid out over the cluster by range, so the members of a
-prefix are neighbours. A vector descends to the longest prefix that holds more than its own few, then all of them
+is indexed). The strings of a tree form one sorted array, laid out over the cluster by whole prefix nodes, so the members
+of a prefix are neighbours and no leaf is cut, whatever the number of partitions. A vector descends to the longest prefix that holds more than its own few, then all of them
 ascend together while a node holds at most ``leaf`` members: those are its candidates in that tree. Within a leaf the
 similarities are one matrix product; the best of all trees are merged.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from codeweir.session import write_shared
 
 TREES, LEAF, BITS, SAMPLE = 20, 2048, 48, 4000
-#: Rows of a sorted array that one task takes, about.
-TASK_ROWS = 40_000
+#: Rows of the sorted arrays that one task takes, about; rows of a placed node; bits whose prefixes are counted for that.
+TASK_ROWS, NODE_ROWS, PREFIX = 40_000, 5_000, 12
 
 
 def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
@@ -79,6 +79,23 @@ def leaves(codes: np.ndarray, bits: int, leaf: int) -> Iterator[tuple[int, int]]
             stack += [(a, b, depth + 1) for a, b in ((low, split), (split, high)) if b > a]
 
 
+def _nodes(counts: dict[tuple[int, int], int], most: int) -> list[tuple[int, int, int]]:
+    """(tree, prefix, node) of each counted prefix: the largest prefix nodes of at most that many rows. As that is no less
+    than a leaf, every leaf lies within one node. A prefix with more rows is a node of its own."""
+    placed, node = [], 0
+    for tree in sorted({t for t, _ in counts}):
+        stack = [(sorted(p for t, p in counts if t == tree), 0)]
+        while stack:
+            own, depth = stack.pop()
+            if depth == PREFIX or sum(counts[tree, p] for p in own) <= most:
+                placed += [(tree, p, node) for p in own]
+                node += 1
+            else:
+                bit = 1 << (PREFIX - 1 - depth)
+                stack += [(side, depth + 1) for side in ([p for p in own if not p & bit], [p for p in own if p & bit]) if side]
+    return placed
+
+
 def _best(ids: np.ndarray, x: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the members of a leaf, each one's k most similar with at least floor."""
     s = x @ x.T
@@ -128,17 +145,21 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", size:
     index = write_shared(classes.mapInPandas(hashed, f"c long, u binary, firsts array<{kind}>, codes array<long>"))
     count = index.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * trees / TASK_ROWS))
-    arrays = index.select("c", "u", F.posexplode("codes").alias("tree", "code"))
-    arrays = arrays.repartitionByRange(parts, "tree", "code", "c").sortWithinPartitions("tree", "code", "c")
+    prefix = F.shiftright("code", BITS - PREFIX).alias("prefix")
+    counted = index.select(F.posexplode("codes").alias("tree", "code")).groupBy("tree", prefix).count().collect()  # at most trees x 2 ** PREFIX
+    placed = _nodes({(r["tree"], r["prefix"]): r["count"] for r in counted}, max(leaf, NODE_ROWS))
+    nodes = F.broadcast(spark.createDataFrame(placed, "tree int, prefix long, node int"))
+    arrays = index.select("c", "u", F.posexplode("codes").alias("tree", "code")).withColumn("prefix", prefix).join(nodes, ["tree", "prefix"])
+    arrays = arrays.select("c", "u", "node", "code").repartition(parts, "node").sortWithinPartitions("node", "code", "c")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
         if not held:
             return
         b = pd.concat(held, ignore_index=True)
-        ids, codes, tree = b["c"].to_numpy(), b["code"].to_numpy(), b["tree"].to_numpy()
+        ids, codes, node = b["c"].to_numpy(), b["code"].to_numpy(), b["node"].to_numpy()
         x = np.frombuffer(b"".join(b["u"]), np.float32).reshape(len(b), -1)
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(tree)) + 1, [len(b)]))
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [len(b)]))
         for low, high in zip(edges[:-1], edges[1:]):
             for i, j in leaves(codes[low:high], BITS, leaf):
                 a, n, s = _best(ids[low + i : low + j], x[low + i : low + j], k, floor)

@@ -94,3 +94,14 @@ def test_leaves_cut_equal_strings():
     codes = np.zeros(1000, np.int64)
     runs = list(forest.leaves(codes, 48, 64))
     assert sum(b - a for a, b in runs) == 1000 and max(b - a for a, b in runs) <= 64
+
+
+def test_nearest_of_few_rows_on_many_partitions(spark):
+    x = np.random.default_rng(2).standard_normal((11, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        near = forest.nearest(df, size=8, k=10).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r["vec_id_a"], r["vec_id_b"]) for r in near} == {(a, b) for a in range(11) for b in range(11) if a != b}
