@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweir.session import write_shared
+
 EXTENSIONS = {"ts": "TypeScript", "tsx": "TypeScript", "py": "Python", "java": "Java", "cs": "C#", "rs": "Rust", "go": "Go"}
 LANGUAGES = ("TypeScript", "Python", "Java", "C#", "Rust", "Go")
 
@@ -36,17 +38,24 @@ def is_skipped(path: Column) -> Column:
     return path.rlike(r"(^|/)(node_modules|target|build|__pycache__|\.[^/]*)/") | path.rlike(r"(^|/)\.[^/]*$")
 
 
+def numbered(df: DataFrame, order: str, *ties: str) -> DataFrame:
+    """df with a column n, the place (from 1) of each row in that order; nulls first.
+
+    Rows are laid out by range once, in a written table that holds their partition: whatever the partitions become when
+    they are merged or recomputed later, the numbers follow from the written ones. The counts of the partitions are
+    summed first, so no task sees all rows."""
+    laid = write_shared(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    counts = laid.groupBy("_p").count()
+    before = counts.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    own = laid.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(order, *ties)))
+    return own.join(before, "_p").withColumn("n", F.col("_n") + F.col("_b")).drop("_p", "_n", "_b")
+
+
 def batches(df: DataFrame, order: str, text: Column, size: int = 32) -> DataFrame:
-    """(batch, n, shortest, longest, total) of text lengths, in batches of size rows in order.
-
-    Rows are numbered by range partition: counts of the partitions are summed first, so no task sees all rows."""
-    ranged = df.select(F.col(order).alias("o"), F.length(text).cast("long").alias("len")).repartitionByRange("o").sortWithinPartitions("o")
-    part = ranged.withColumn("p", F.spark_partition_id())
-    counts = part.groupBy("p").count()
-    before = counts.select("p", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = part.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("o"))).join(before, "p")
-    batch = F.floor((F.col("n") + F.col("before") - 1) / size)
-    return numbered.groupBy(batch.alias("batch")).agg(F.count("*").alias("n"), F.min("len").alias("shortest"), F.max("len").alias("longest"), F.sum("len").alias("total"))
+    """(batch, n, shortest, longest, total) of text lengths, in batches of size rows in order."""
+    rows = numbered(df.select(F.col(order).alias("o"), F.length(text).cast("long").alias("len")), "o", "len")
+    batch = F.floor((F.col("n") - 1) / size)
+    return rows.groupBy(batch.alias("batch")).agg(F.count("*").alias("n"), F.min("len").alias("shortest"), F.max("len").alias("longest"), F.sum("len").alias("total"))
 
 
 def manifest_issues(manifests: DataFrame) -> DataFrame:

@@ -30,8 +30,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return store.current(table(spark, sf, "code_symbols"))
+def _symbols(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The current symbols, with these columns: only they are read and shuffled."""
+    log = table(spark, sf, "code_symbols")
+    return store.current(log.select("id", *columns, "indexed_at", "ingest_batch"))
+
+
+_TEXT_COLUMNS = ("title", "repository", "path", "signature", "summary", "content", "preview", "dependencies")
 
 
 # SQL of the token expressions
@@ -64,7 +69,7 @@ _FUSED = f"""(SELECT request_id, id, max(CASE WHEN channel = 'semantic' THEN sco
 @query(f"SELECT id, array_to_string(list_sort({_tokens("title || chr(10) || signature")}), ' ') AS tokens FROM {_ONCE}")
 def search_tokens(spark, sf):
     tokens = T.search_tokens(F.concat_ws("\n", "title", "signature"))
-    return _symbols(spark, sf).select("id", F.array_join(F.array_sort(tokens), " ").alias("tokens"))
+    return _symbols(spark, sf, "title", "signature").select("id", F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
 
 @query(f"""SELECT request_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ' ') AS expanded
@@ -83,7 +88,7 @@ def overlap_topk(spark, sf):
     """Shared tokens are counted over a join by token, never over all pairs of request and symbol."""
     line = lambda *c: T.search_tokens(F.concat_ws("\n", *c))
     q = table(spark, sf, "search_requests").select("request_id", line("target_symbol.name", "target_symbol.signature").alias("t"))
-    d = _symbols(spark, sf).select("id", line("title", "signature").alias("t"))
+    d = _symbols(spark, sf, "title", "signature").select("id", line("title", "signature").alias("t"))
     qt = q.select("request_id", F.size("t").alias("nq"), F.explode("t").alias("w"))
     dt = d.select("id", F.size("t").alias("nd"), F.explode("t").alias("w"))
     shared = qt.join(dt, "w").groupBy("request_id", "id").agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
@@ -152,17 +157,20 @@ def vector_topk(spark, sf):
     return near.withColumn("place", F.row_number().over(w)).where("place <= 10")
 
 
-_BM25 = f"""d AS (SELECT id, {_tokens("title || chr(10) || signature || chr(10) || coalesce(summary, '')")} AS t FROM {_ONCE}),
+# SQL has no compatibility normal form: the two characters that occur in code are replaced by theirs
+_Q = "concat_ws(chr(10), t.name, t.signature, coalesce(t.documentation, ''), t.kind, t.code_language, t.path, coalesce(requirement, ''))"
+_D = """concat_ws(chr(10), title, repository, path, signature, coalesce(summary, ''), replace(replace(coalesce(nullif(content, ''), preview), '½', '1⁄2'), '𝛴', 'Σ')) || chr(10) || array_to_string(coalesce(dependencies, []), chr(10))"""
+_BM25 = f"""d AS (SELECT id, {_tokens(_D)} AS t FROM {_ONCE}),
     p AS (SELECT id, len(t) AS n, unnest(t) AS w FROM d), a AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM d), f AS (SELECT w, count(*) AS df FROM p GROUP BY w),
-    q AS (SELECT request_id AS qid, unnest({_tokens("target_symbol.name || chr(10) || coalesce(requirement, '')")}) AS w FROM search_requests),
+    q AS (SELECT request_id AS qid, unnest({_tokens(_Q)}) AS w FROM (SELECT request_id, target_symbol AS t, requirement FROM search_requests)),
     s AS (SELECT qid, id, round(sum(ln(1 + (a.n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * p.n / a.avg))), 6) AS score FROM q JOIN f USING (w) JOIN p USING (w), a GROUP BY qid, id),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM s)"""
 
 
 def _bm25(spark, sf):
-    """The whole search text on both sides, as the surveyed index has it. The SQL above still has the shorter texts."""
+    """The whole search text on both sides, as the surveyed index has it."""
     q = table(spark, sf, "search_requests").select(F.col("request_id").alias("qid"), T.search_tokens(search.query_text()).alias("tokens"))
-    return search.bm25(q, _symbols(spark, sf).select("id", T.search_tokens(search.document_text()).alias("tokens")))
+    return search.bm25(q, _symbols(spark, sf, *_TEXT_COLUMNS).select("id", T.search_tokens(search.document_text()).alias("tokens")))
 
 
 @query(f"WITH {_BM25} SELECT qid, id, score, place FROM r WHERE place <= 10")
@@ -180,9 +188,6 @@ def rrf_fusion(spark, sf):
     return search.fuse(search.channel_ranks(table(spark, sf, "channel_results"))).withColumn("hybrid", F.round("hybrid", 9))
 
 
-_Q = "concat_ws(chr(10), t.name, t.signature, coalesce(t.documentation, ''), t.kind, t.code_language, t.path, coalesce(requirement, ''))"
-_D = """concat_ws(chr(10), title, repository, path, signature, coalesce(summary, ''), replace(replace(coalesce(nullif(content, ''), preview), '½', '1⁄2'), '𝛴', 'Σ')) || chr(10) || array_to_string(coalesce(dependencies, []), chr(10))"""
-# SQL has no compatibility normal form: the two characters that occur in code are replaced by theirs
 _SCORES = f"""(WITH q AS (SELECT request_id, target_symbol AS t, requirement, top_k, candidate_languages FROM search_requests),
     qt AS (SELECT request_id, t, top_k, candidate_languages, {_tokens(_Q)} AS q, {_tokens("t.name")} AS n, {_tokens("t.signature")} AS g,
         {_tokens("concat_ws(chr(10), t.name, t.signature, coalesce(t.documentation, ''), t.path)")} AS c FROM q),
@@ -197,7 +202,7 @@ _SCORES = f"""(WITH q AS (SELECT request_id, target_symbol AS t, requirement, to
 @query(f"SELECT request_id, id, round(semantic, 6) AS semantic, round(text_part, 6) AS text, round(symbol, 6) AS symbol, round(contract, 6) AS contract, round(overall, 6) AS overall FROM {_SCORES}")
 def candidate_scores(spark, sf):
     fused = search.fuse(search.channel_ranks(table(spark, sf, "channel_results")))
-    pairs = fused.join(table(spark, sf, "search_requests").select("request_id", "target_symbol", "requirement"), "request_id").join(_symbols(spark, sf), "id")
+    pairs = fused.join(table(spark, sf, "search_requests").select("request_id", "target_symbol", "requirement"), "request_id").join(_symbols(spark, sf, *_TEXT_COLUMNS, "kind", "code_language"), "id")
     s = search.candidate_scores(pairs)
     return s.select("request_id", "id", *[F.round(c, 6).alias(c) for c in ("semantic", "text", "symbol", "contract", "overall")])
 
@@ -205,7 +210,7 @@ def candidate_scores(spark, sf):
 @query(f"""WITH s AS (SELECT request_id, id, top_k, round(hybrid, 9) AS hybrid, round(overall, 6) AS overall FROM {_SCORES} WHERE t.kind = kind AND (coalesce(len(candidate_languages), 0) = 0 OR list_contains(candidate_languages, code_language))),
     r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY hybrid DESC, overall DESC, id) AS place FROM s) SELECT request_id, id, hybrid, overall, place FROM r WHERE place <= top_k""")
 def hybrid_topk_batched(spark, sf):
-    return search.hybrid_search(table(spark, sf, "search_requests"), table(spark, sf, "channel_results"), _symbols(spark, sf))
+    return search.hybrid_search(table(spark, sf, "search_requests"), table(spark, sf, "channel_results"), _symbols(spark, sf, *_TEXT_COLUMNS, "kind", "code_language"))
 
 
 # Judgments: the semantic channel's scores as grades; rankings: the text channel and the fusion
@@ -323,7 +328,7 @@ def exception_alias(spark, sf):
 
 @query(f"SELECT id, repository, kind, ingest_batch, CAST(epoch_us(indexed_at) AS BIGINT) AS indexed_us FROM {_ONCE}")
 def upsert_latest(spark, sf):
-    return _symbols(spark, sf).select("id", "repository", "kind", "ingest_batch", F.unix_micros("indexed_at").alias("indexed_us"))
+    return _symbols(spark, sf, "repository", "kind").select("id", "repository", "kind", "ingest_batch", F.unix_micros("indexed_at").alias("indexed_us"))
 
 
 @query("SELECT user_id, event_type, max(event_id) AS last_event, min(event_id) AS first_position FROM events GROUP BY ALL")
@@ -404,10 +409,31 @@ def nearest_symbol(spark, sf):
     return store.nearest_symbol(table(spark, sf, "search_requests"), table(spark, sf, "code_symbols").select("id", "path").distinct())
 
 
+def _files(spark, sf):
+    return table(spark, sf, "source_files").select("repository", "path", "file_text").dropDuplicates(["repository", "path"])
+
+
 @query()
 def symbol_extract(spark, sf):
-    f = table(spark, sf, "source_files").select("repository", "path", "file_text").dropDuplicates(["repository", "path"])
-    return extract.symbols(f)
+    return extract.symbols(_files(spark, sf))
+
+
+@query(f"SELECT id, repository, path, code_language, kind, signature FROM {_ONCE} WHERE (repository, path) IN (SELECT (repository, path) FROM source_files WHERE file_text IS NOT NULL)")
+def symbol_extract_indexed(spark, sf):
+    """The symbols of the index, found again in the files: every one must come out with its kind, line and signature."""
+    return extract.indexed_again(_files(spark, sf), table(spark, sf, "code_symbols")).drop("summary", "preview")
+
+
+@query(f"""SELECT s.id, s.repository, s.kind, s.signature, m.license, array_to_string(m.dependencies, ',') AS dependencies, array_to_string(m.compatibility, ',') AS compatibility, len(m.risks) AS risks,
+        CASE WHEN s.kind = 'class' THEN coalesce(nullif(m.aliases[split_part(s.id, ':', 4)], ''), split_part(s.id, ':', 4)) ELSE split_part(s.id, ':', 4) END AS title
+    FROM {_ONCE} s JOIN (SELECT 'fixture/' || repository AS repository, code_language, coalesce(nullif(license, ''), 'Unknown') AS license, coalesce(dependencies, []) AS dependencies,
+        ['Extracted from ' || code_language || ' source'] AS compatibility, CASE WHEN synthetic THEN ['Synthetic evaluation fixture'] ELSE [] END AS risks, retrieval_class_aliases AS aliases FROM corpus_manifests) m
+    ON s.repository = m.repository AND s.code_language = m.code_language WHERE (s.repository, s.path) IN (SELECT (repository, path) FROM source_files WHERE file_text IS NOT NULL)""")
+def symbol_documents(spark, sf):
+    """The documents built from files and manifests, for the symbols the index holds."""
+    made = extract.documents(_files(spark, sf), table(spark, sf, "corpus_manifests"))
+    made = made.join(table(spark, sf, "code_symbols").select("id").distinct(), "id", "left_semi")
+    return made.select("id", "repository", "kind", "signature", "license", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("compatibility", ",").alias("compatibility"), F.size("risks").cast("long").alias("risks"), "title")
 
 
 @query()

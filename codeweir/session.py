@@ -29,12 +29,17 @@ def local_session(cores: int | str = 8, app: str = "codeweir", **conf: str) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, else (tests) a temporary one."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Only a local session, whose executors are this
+    process, may go without one and gets a temporary folder; a cluster must name its own."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeweir-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="codeweir-")
     sc.setCheckpointDir(folder)
     return folder
 

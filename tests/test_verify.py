@@ -64,11 +64,34 @@ def test_upsert(spark):
 
 
 def test_extract_nested_types():
-    java = "public class A\n{\n    // Adds both numbers up.\n    // @param x one\n    int add(int x, int y) {\n        if (x > 1) { call(y); }\n        return x;\n    }\n    class B {\n        void run() { }\n    }\n    void last() { }\n}\n"
+    java = "public class A\n{\n    // Adds both numbers up.\n    // @param x one\n\n    int add(int x, int y) {\n        if (x > 1) { call(y); }\n        return x;\n    }\n    class B {\n        B() { }\n        void run() { }\n    }\n    void last() { }\n}\n"
     found = extract.extract(java, "Java")
-    assert [(f["kind"], f["name"], f["line"]) for f in found] == [("class", "A", 1), ("function", "add", 5), ("class", "B", 9), ("function", "run", 10), ("function", "last", 12)]
-    assert found[1]["summary"] == "Adds both numbers up." and found[0]["summary"].startswith("Type A: ")
-    assert [f["name"] for f in extract.extract("class P:\n    def f(self):\n        return 1\n\ndef g():\n    pass\n", "Python")] == ["P", "f", "g"]
+    assert [(f.kind, f.name, f.line) for f in found] == [("class", "A", 1), ("function", "add", 6), ("class", "B", 10), ("function", "run", 12), ("function", "last", 14)]
+    assert found[1].summary == "Adds both numbers up." and found[0].summary.startswith("Type A: ")
+
+
+@pytest.mark.parametrize(
+    "language, code, names",
+    [
+        ("Python", "class P:\n    def f(self):\n        return 1\n\ndef g():\n    \'\'\'\ndef no(): pass\n\'\'\'\n", ["P", "f", "g"]),
+        ("TypeScript", "export abstract class K<T> {\n  constructor(a: T) {}\n  get size(): number { return f(1); }\n  run<U>(u: U) {\n    if (u) {}\n  }\n}\nexport default async function* walk() {}\n", ["K", "size", "run", "walk"]),
+        ("C#", "[Serializable]\npublic sealed class C\n{\n  public C(int a) {}\n  public Dictionary<string, int[]>? Map(int a) => null;\n  public delegate bool Test<T>(T x);\n  record struct R(int A);\n}\n", ["C", "Map", "Test", "R"]),
+        ("Rust", "pub(crate) struct S {\n}\nimpl S {\n  #[inline]\n  pub async fn go(&self) {}\n}\ntrait T { }\n", ["S", "go", "T"]),
+        ("Go", "type A struct {\n}\ntype B = int\nfunc (a *A) Run(x int) {}\nfunc main() {}\n", ["A", "Run", "main"]),
+        ("Java", "/* class No { */ class Yes { String s = \"class No {\"; @Override public <T> List<T> all(T t) { return new X(t); } }", ["Yes"]),
+        ("Java", "class Y {\n  @A(x = \"(\") public <T> java.util.List<T>[] all(T t) {\n    return go(t);\n  }\n", ["Y", "all"]),
+    ],
+)
+def test_extract_languages(language, code, names):
+    assert [f.name for f in extract.extract(code.replace("\n", "\r\n"), language)] == names
+
+
+def test_documents(spark):
+    f = spark.createDataFrame([("fixture/r", "a/X.java", "class X { }"), ("fixture/r", "b.go", "func f() {}"), ("fixture/q", "c.py", None)], "repository string, path string, file_text string")
+    m = spark.createDataFrame([("r", "Java", None, None, True, {"X": "the alias"}), ("q", "Python", "MIT", ["d"], None, None)], "repository string, code_language string, license string, dependencies array<string>, synthetic boolean, retrieval_class_aliases map<string,string>")
+    got = extract.documents(f, m).collect()
+    assert [(r["id"], r["title"], r["license"], r["dependencies"], r["risks"]) for r in got] == [("r:a/X.java:1:X", "the alias", "Unknown", [], ["Synthetic evaluation fixture"])]
+    assert extract.documents(f.limit(0), m).count() == 0
 
 
 def test_readers(spark, tmp_path):
@@ -91,3 +114,18 @@ def test_budget():
     cut = V.within_budget(s, 600)
     assert sum(map(len, cut.values())) <= 600 and set(cut) == set(s)
     assert set(V.within_budget(s, 300)) == {"target", "fields"} and V.within_budget(s, 50) == {"target": "t" * 100}
+
+
+def test_batches_do_not_depend_on_partitions(spark):
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("t"))
+    want = None
+    for partitions, advisory in ((4, "64m"), (200, "2k"), (64, "20k")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        got = sorted(map(tuple, store.batches(df, "k", F.col("t")).collect()))
+        want = want or got
+        assert got == want and len(got) == 157
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
