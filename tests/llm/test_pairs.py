@@ -1,8 +1,10 @@
 """Components, near duplicates and nearest vectors against brute force."""
 
+import os
 import random
 
 import numpy as np
+import pytest
 
 from codeweir.llm import forest, neardup
 from codeweir.llm.components import components
@@ -74,7 +76,7 @@ def test_nearest_against_brute_force(spark):
     rows += [(1000 + i, rows[10][1]) for i in range(30)]  # a hot direction
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     near = {}
-    for r in forest.nearest(df, size=8, k=5, leaf=64).collect():
+    for r in forest.nearest(df, size=8, k=5, digits=(4, 4)).collect():
         near.setdefault(r["vec_id_a"], []).append(r["vec_id_b"])
     usable = {i: np.array(v, float) for i, v in rows if v and len(v) == 8 and np.isfinite(v).all() and np.any(v)}
     ids = sorted(usable)
@@ -90,10 +92,55 @@ def test_nearest_against_brute_force(spark):
     assert forest.nearest(df.limit(0), size=8).count() == 0
 
 
-def test_leaves_cut_equal_strings():
-    codes = np.zeros(1000, np.int64)
-    runs = list(forest.leaves(codes, 48, 64))
-    assert sum(b - a for a, b in runs) == 1000 and max(b - a for a, b in runs) <= 64
+def test_ascent_counts_whole_nodes():
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 64, (500, 3))
+    low = np.arange(64)
+    tries = [forest.Trie(low, low + 1, np.concatenate(([0], np.cumsum(np.bincount(codes[:, t], minlength=64))))) for t in range(3)]
+    for reach in (1, 20, 200, 1500, 1501):
+        depth = forest.ascend(codes, tries, 6, reach)
+        held = lambda i, d: sum((codes[:, t] >> (6 - d) == codes[i, t] >> (6 - d)).sum() for t in range(3))
+        for i in range(0, 500, 50):
+            assert depth[i] == max([d for d in range(7) if held(i, d) >= reach], default=0)
+
+
+def clustered(n, rng):
+    centres = rng.standard_normal((8, 16))
+    return centres[rng.choice(8, n, p=[0.37] + [0.09] * 7)] + 0.3 * rng.standard_normal((n, 16))
+
+
+def test_nearest_does_not_depend_on_partitions_or_blocks(spark):
+    """A third of the rows is one cluster; recall is measured against brute force."""
+    x = clustered(3000, np.random.default_rng(9))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = []
+    for partitions, block in ((8, 16384), (200, 16384), (2000, 16384), (8, 100)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        found.append({(r[0], r[1], r[3]) for r in forest.nearest(df, size=16, k=10, block=block).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2] == found[3]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = {(a, b) for a in range(3000) for b in np.argsort(-s[a])[:10]}
+    assert len({(a, b) for a, b, _ in found[0]} & true) / len(true) >= 0.95
+
+
+def test_nearest_on_a_table(spark):
+    path = "/root/testdata/sf0.01/symbol_vectors.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are absent")
+    df = spark.read.parquet(path)
+    near = {}
+    for r in forest.nearest(df).collect():
+        near.setdefault(r["vec_id_a"], set()).add(r["vec_id_b"])
+    rows = forest.usable(df, "vec_id", "embedding", 64).dropDuplicates(["k"]).collect()
+    u = np.array([r["v"] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    hits = [len(near[r["k"]] & {rows[j]["k"] for j in np.argsort(-s[i])[:10]}) for i, r in enumerate(rows)]
+    assert sum(hits) / (10 * len(rows)) >= 0.95
 
 
 def test_nearest_of_few_rows_on_many_partitions(spark):
