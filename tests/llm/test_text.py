@@ -216,17 +216,31 @@ def test_residue(text, kinds):
 
 
 def test_residue_table(spark):
-    df = spark.createDataFrame([(1, "Menu\nForbidden", "s", "k"), (2, None, None, "k"), (3, "Menu\nreal text", "s", "k"), (4, "", "s", "k")], "doc_id long, text string, source string, kinds string")
-    assert [(r["doc_id"], r["kinds"]) for r in residue.residue(df).collect()] == [(1, ["error"])]
+    df = spark.createDataFrame([(1, "Menu\nForbidden", "s", "k"), (2, None, None, "k"), (3, "Menu\nreal text", "s", "k"), (4, "", "s", "k"), (None, "{{ x }}", None, "k")], "doc_id long, text string, source string, kinds string")
+    assert sorted((r["doc_id"] or 0, r["kinds"]) for r in residue.residue(df).collect()) == [(0, ["placeholder"]), (1, ["error"])]
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_boilerplate_is_subtracted(spark, monkeypatch):
+    """A notice on every page of a host is no evidence against them; the same notice in one page of another is, and so is
+    a page of nothing but its host's template."""
+    notice = "Please enable JavaScript to see all 12 reports."
+    rows = [(i, f"Report {chr(97 + i % 26) * (i + 1)} tells of other things each time.\n{notice}\nhttps://a.b/{i}", "a") for i in range(40)]
+    rows += [(100 + i, f"Text {i} of another host", "b") for i in range(40)] + [(200, f"Some text.\n{notice}", "b"), (201, notice, "a"), (202, f"Owner: {{{{ name }}}}\n{notice}", "a")]
+    rows += [(203, "Report 9 tells of other things each time.\nForbidden", "a"), (204, "Forbidden\n" + "many other words " * 9 + "\n" + "and some more words " * 9, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    flagged = lambda: {r["doc_id"]: r["kinds"] for r in residue.residue(df).collect()}
+    assert flagged() == {200: ["scripts"], 201: ["scripts"], 202: ["placeholder"], 203: ["error"]}
+    monkeypatch.setattr(residue, "SHARE", 2.0)  # nothing is boilerplate
+    assert len(flagged()) == 44
+
+
 @pytest.mark.parametrize(
     "text, kinds",
     [
         ("test test test test test", ["filler"]),
         ("content content, content content content", ["filler"]),
-        ('x1 "a" x1 "b" x1 "c" x1 `d` x1', ["filler"]),
+        ('x1 "a" x1 "b" x1 "c" x1 `d` x1', []),
         ("Bla, bla, bla.", ["filler"]),
         ("xx xx xx xx", ["filler"]),
         ("jkl jkl jkl", ["filler"]),
@@ -235,7 +249,19 @@ def test_residue_table(spark):
         ("well\n503\n", ["error"]),
         ("dolor sit amet consectetur adipiscing elit", ["filler"]),
         ("Lorem ipsum here", ["filler"]),
-        ("sed sed sed", ["filler"]),
+        ("sed sed sed", []),
+        ("Vamper, odis kular benti sombre. Tilar odis vemper kular.", []),
+        ("Vamper, odis kular benti sombre. Tilar odis vemper kular sombre.", ["filler"]),
+        ("Fixed buffer overflow. Added retry logic and removed the old client.", []),
+        ("Sorry, this page could not be found.", ["error"]),
+        ("The client retries when the server cannot be reached.", []),
+        ("Your session has expired. Please log in again.", ["error"]),
+        ("The session has expired before the second pass of the reader could begin its work.", []),
+        ("Service unavailable", ["error"]),
+        ("Bitte aktivieren Sie JavaScript.", ["scripts"]),
+        ("The module requires JavaScript modules of version 4 and a loader.", []),
+        ("```\nopen fence with {{ name }}", ["placeholder"]),
+        ('{"status": 503, "error": "x"}', ["error"]),
         ("test test test test\ntest", []),
         ("> 404", []),
         ("the the book of 404 pages, ii. aa.", []),
