@@ -171,7 +171,8 @@ def _uncommon(line: str) -> bool:
 
 
 _sentence = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
-_told = re.compile(r"^\W*(?:when|if|while|whenever|once|as|since|because|although|after|before)\b", re.I)
+_told = re.compile(r"^\W*(?:when|if|while|whenever|once|as|since|because|although|after|before)\b")
+_clause = re.compile(r"\b(?:when|if|while|whenever|once|since|because|although|that|which)\b")
 
 
 def _wrong(line: str) -> bool:
@@ -183,7 +184,7 @@ def _wrong(line: str) -> bool:
     for i, part in enumerate(parts):
         if _fail.search(part) and not _told.match(part):
             code, reader = bool(_code.search(part)), any(_reader.search(x) for x in parts[max(0, i - 1) : i + 2])
-            if (code and reader) or (_thing.search(part) and (code or reader or len(line.split()) <= 9)):
+            if (code and reader) or (_thing.search(part) and (code or reader or (len(line.split()) <= 9 and not _clause.search(line)))):
                 return True
     return False
 

@@ -29,22 +29,60 @@ def test_encoding_equals_the_library(ranks):
         assert own.encode(t) == want and own.count(t) == len(want)
         if t:
             assert bpe.Decoder(ranks).decode(want) == t
-            assert list(bpe.pretokens(t[i : i + 3] for i in range(0, len(t), 3))) == bpe._split(t)
+            for size, most in ((3, 5), (7, 11), (50, 20)):
+                words, part = [], ""
+                for piece, ends in bpe.pretokens((t[i : i + size] for i in range(0, len(t), size)), most):
+                    part += piece
+                    if ends:
+                        words.append(part)
+                        part = ""
+                assert words == bpe._split(t) and not part
 
 
-def test_transducer_emits_before_the_end(ranks):
-    t = bpe.Transducer(ranks)
-    read = 0
-
-    def blocks():
+def test_lookahead_holds_for_any_merge_list():
+    rng = random.Random(1)
+    for _ in range(150):
+        own = {bytes([c]): i for i, c in enumerate(b"abc")}
+        for _ in range(rng.randint(2, 25)):
+            token = rng.choice(list(own)) + rng.choice(list(own))
+            if token not in own and len(token) < 9:
+                own[token] = len(own)
+        ahead = bpe.lookahead(own)
+        for _ in range(40):
+            x, y = (bytes(rng.choices(b"abc", k=rng.randint(1, n))) for n in (60, 25))
+            alone, more = bpe.merge_bytes(own, x), bpe.merge_bytes(own, x + y)
+            assert bpe.merge_long(own, x) == alone
+            end = 0
+            for a, b in zip(alone, more):
+                end += len(a)
+                assert end > len(x) - ahead or a == b
+                if a != b:
+                    break
+        text = bytes(rng.choices(b"abc", k=3000))
+        machine = bpe.Transducer(own, ahead)
+        assert list(machine.run(text[i : i + 7] for i in range(0, 3000, 7))) == [own[t] for t in bpe.merge_long(own, text)]
+
+
+def test_transducer_emits_before_the_end_in_little_memory(ranks):
+    import tracemalloc
+
+    own, read = bpe.Encoder(ranks), 0
+
+    def blocks(n):
         nonlocal read
-        for _ in range(100):
+        for _ in range(n):
             read += 1
-            yield b"ledgerquotasilo" * 20
+            yield "ledgerquotasilo" * 2000
 
-    stream = t.run(blocks())
-    next(stream)
+    next(own.stream(blocks(100)))
     assert read < 10
+    peaks = []
+    for n in (4, 16):
+        tracemalloc.start()
+        assert sum(1 for _ in own.stream(blocks(n))) > 0
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + 200_000
 
 
 def test_encode_corpus_keeps_rows(spark):
