@@ -1,12 +1,19 @@
 """Byte-level BPE over a whole corpus, as a streaming transducer with bounded lookahead.
 
-A text is cut into pre-tokens by the tokenizer's pattern; inside a pre-token the byte-pair encoding has one
-property that makes streaming possible: a sequence of tokens is the encoding of its bytes exactly if each two
-neighbours, joined and encoded, give the same two tokens again.  For every byte position there is therefore one
-last token of the encoding of the bytes so far, found from earlier positions alone.  Bytes still to come can only
-attach to one of the last ``lookahead`` positions, where the lookahead is the length of the longest token that the
-merge list can build; as soon as the chains that end in those positions agree on a token, it is stable and leaves
-the transducer.  Memory is the lookahead, whatever the length of the text.
+A text is cut into pre-tokens by the tokenizer's pattern, and the bytes of every pre-token pass the transducer. Bytes
+that are still to come can change the tokens before them only so far, and how far follows from the merge list:
+
+- The first token that they can change begins less than the longest token before the end of what was read.
+- A change goes on to the left only through a merge: if ``u v`` was joined in one case and not in the other, the place
+  before ``u`` can differ only by a merge of a higher rank whose right part begins with ``u``, that is, was built from
+  ``u`` by adding to its right. The change then reaches the begin of that merge's left part.
+
+Ranks rise along such a chain of merges, so there is a longest one, counted in bytes of left parts. ``lookahead`` finds it
+in one pass over the merges from the highest rank down. Tokens that end at least that far before the end of what was
+read are stable and leave the transducer; its buffer is a multiple of the lookahead, whatever the length of the text.
+A boundary between stable tokens is crossed by no merge, so the rest is encoded as if the text began there.
+
+Pre-tokens stream as well: of a run that fills the buffer all characters but the last go on to the transducer at once.
 
 Defined cases: a null and an empty text both give an empty list; characters outside the vocabulary cannot occur, as
 all 256 bytes are tokens; special tokens are ordinary text.
@@ -20,6 +27,8 @@ import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
@@ -50,11 +59,8 @@ def parse_vocabulary(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
-def merge_bytes(ranks: dict[bytes, int], data: bytes) -> list[int]:
-    """Encoding of a short pre-token by the merge list itself: the lowest-ranked neighbours are joined first."""
-    whole = ranks.get(data)
-    if whole is not None:
-        return [whole]
+def merge_bytes(ranks: dict[bytes, int], data: bytes) -> list[bytes]:
+    """The tokens of a short run by the merge list itself: the lowest-ranked neighbours are joined first."""
     parts = [data[i : i + 1] for i in range(len(data))]
     while len(parts) > 1:
         best, at = None, -1
@@ -62,95 +68,76 @@ def merge_bytes(ranks: dict[bytes, int], data: bytes) -> list[int]:
             r = ranks.get(parts[i] + parts[i + 1])
             if r is not None and (best is None or r < best):
                 best, at = r, i
-        if best is None:
+        if at < 0:
             break
-        pair = (parts[at], parts[at + 1])
-        joined, out, i = parts[at] + parts[at + 1], [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and parts[i] == pair[0] and parts[i + 1] == pair[1]:
-                out.append(joined)
-                i += 2
-            else:
-                out.append(parts[i])
-                i += 1
-        parts = out
-    return [ranks[p] for p in parts]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def merge_long(ranks: dict[bytes, int], data: bytes) -> list[bytes]:
+    """merge_bytes for a long run: the neighbours wait in a heap."""
+    n = len(data)
+    parts: list[bytes | None] = [data[i : i + 1] for i in range(n)]
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    waiting = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+    heapify(waiting)
+    while waiting:
+        _, i, size = heappop(waiting)
+        left = parts[i]
+        j = after[i]
+        if left is None or j >= n or len(left) + len(parts[j]) != size:
+            continue  # one of the two has been joined meanwhile
+        parts[i], parts[j] = left + parts[j], None
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (r := ranks.get(parts[i] + parts[k])) is not None:
+                heappush(waiting, (r, i, size + len(parts[k])))
+        h = before[i]
+        if h >= 0 and (r := ranks.get(parts[h] + parts[i])) is not None:
+            heappush(waiting, (r, h, len(parts[h]) + size))
+    return [p for p in parts if p is not None]
+
+
+def lookahead(ranks: dict[bytes, int]) -> int:
+    """How many bytes before the end of what was read a token must end to be stable. Every way to build a token from two
+    of lower rank counts as a merge."""
+    reach: dict[bytes, int] = {}  # of the merges seen, the longest chain that goes on from a piece
+    longest = 0
+    for token, rank in sorted(ranks.items(), key=lambda e: -e[1]):
+        merges = [(token[:i], token[i:]) for i in range(1, len(token))]
+        chains = [(v, len(u) + reach.get(u, 0)) for u, v in merges if ranks.get(u, rank) < rank and ranks.get(v, rank) < rank]
+        for v, size in chains:
+            longest = max(longest, size)
+            for piece in (v[:i] for i in range(1, len(v) + 1)):  # what v may have been built from by adding to its right
+                if piece in ranks:
+                    reach[piece] = max(reach.get(piece, 0), size)
+    return max(map(len, ranks)) - 1 + longest
 
 
 class Transducer:
     """Bytes of one pre-token in, stable token ids out."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.text = {i: t for t, i in ranks.items()}
-        self.lookahead = max(map(len, ranks))
-        ends: dict[bytes, set[int]] = {}
-        for token in ranks:
-            if len(token) > 1:
-                ends.setdefault(token[-2:], set()).add(len(token))
-        #: For the last two bytes, the lengths of the tokens that end so.
-        self.ends = {k: (*sorted(v), 1) for k, v in ends.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
-
-    def fits(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > MEMO:
-                self.pairs.clear()
-            known = self.pairs[key] = merge_bytes(self.ranks, self.text[left] + self.text[right]) == [left, right]
-        return known
+    def __init__(self, ranks: dict[bytes, int], ahead: int):
+        self.ranks, self.ahead = ranks, ahead
+        self.room = 8 * max(ahead, 32)
 
     def run(self, blocks: Iterable[bytes]) -> Iterator[int]:
-        tail = b""  # at most lookahead bytes before the position
-        last: list = [(-1, 0)]  # (token, its length) for each position of the tail; the first is fixed
+        """The buffer holds at most room bytes and a block; what is stable leaves it."""
+        held, ranks = b"", self.ranks
         for block in blocks:
-            for byte in block:
-                tail += bytes((byte,))
-                n = len(tail)
-                found = None
-                for size in self.ends.get(tail[-2:], (1,)):
-                    if size > n or last[n - size] is None:
-                        continue
-                    token = self.ranks.get(tail[n - size :])
-                    if token is None:
-                        continue
-                    before = last[n - size][0]
-                    if before < 0 or self.fits(before, token):
-                        found = (token, size)
+            held = held + block if held else block
+            while len(held) > self.room:
+                window, done = held[: self.room], 0
+                for token in merge_long(ranks, window):
+                    if done + len(token) > self.room - self.ahead:
                         break
-                last.append(found)
-                if n >= 4 * self.lookahead:
-                    out, tail, last = self._flush(tail, last)
-                    yield from out
-        yield from self._chain(last, len(tail))
-
-    @staticmethod
-    def _chain(last: list, end: int) -> list[int]:
-        out = []
-        while end > 0:
-            token, size = last[end]
-            out.append(token)
-            end -= size
-        return out[::-1]
-
-    def _flush(self, tail: bytes, last: list) -> tuple[list[int], bytes, list]:
-        """Emit what every chain from the last positions shares."""
-        n = len(tail)
-        shared: set[int] | None = None
-        for end in range(n - self.lookahead + 1, n + 1):
-            if last[end] is None:
-                continue
-            seen, at = set(), end
-            while at > 0:
-                seen.add(at)
-                at -= last[at][1]
-            shared = seen if shared is None else shared & seen
-        cut = max(shared or {0}, default=0)
-        if cut <= 0:
-            return [], tail, last
-        out = self._chain(last, cut)
-        return out, tail[cut:], [(out[-1], 0), *last[cut + 1 :]]
+                    done += len(token)
+                    yield ranks[token]
+                held = held[done:]
+        if held:
+            for token in merge_bytes(ranks, held) if len(held) < 32 else merge_long(ranks, held):
+                yield ranks[token]
 
 
 #: Characters for which the classes of the standard library differ from the pattern's: numbers that are no decimal digits, and four separators.
@@ -167,32 +154,54 @@ def _split(text: str) -> list[str]:
     return _plain(text) if ODD.isdisjoint(text) else _any(text)
 
 
-def pretokens(blocks: Iterable[str]) -> Iterator[str]:
-    """Pre-tokens of a text that comes in blocks. The last two matches of what was read wait for more: no pre-token's
-    end depends on anything beyond the two that follow it."""
-    held = ""
-    for block in blocks:
-        held += block
+_RUNS = {k: regex.compile(v) for k, v in {"L": r"\p{L}*", "N": r"\p{N}*", "O": r"[^\s\p{L}\p{N}]*", "S": r"\s*"}.items()}
+
+
+def _run_kind(c: str) -> str:
+    return next(k for k, r in _RUNS.items() if r.match(c).end())
+
+
+def pretokens(blocks: Iterable[str], most: int = BLOCK) -> Iterator[tuple[str, bool]]:
+    """Pieces of pre-tokens of a text that comes in blocks, and whether each ends one. The last two matches of what was
+    read wait for more: no pre-token's end depends on anything beyond the two that follow it. Of a match longer than
+    ``most`` characters all but the last are given at once, as it can only grow."""
+    held, kind = "", ""
+    for block in chain(blocks, (None,)):
+        last = block is None
+        held += block or ""
+        if kind:
+            end = _RUNS[kind].match(held).end()
+            if end == len(held) and not last:
+                yield held[:-1], False
+                held = held[-1:]
+                continue
+            if kind == "S" and end < len(held):
+                end -= 1  # the last blank belongs to what follows
+            yield held[:end], True
+            held, kind = held[end:], ""
         found = _split(held)
-        if len(found) > 2:
-            yield from found[:-2]
+        if last:
+            yield from ((f, True) for f in found)
+        elif len(found) > 2 and len(found[-1]) <= most:
+            yield from ((f, True) for f in found[:-2])
             held = found[-2] + found[-1]
-    yield from _split(held)
+        elif found and len(found[-1]) > most:
+            yield from ((f, True) for f in found[:-1])
+            yield found[-1][:-1], False
+            held = found[-1][-1:]
+            kind = _run_kind(held)
 
 
 class Memo(dict):
-    """Pre-token to its ids; filled by the transducer, emptied when full."""
+    """Pre-token to its ids, as the transducer gives them; emptied when full."""
 
     def __init__(self, transducer: Transducer, count_only: bool = False):
         self.transducer, self.count_only = transducer, count_only
 
     def __missing__(self, word: str):
         data = word.encode()
-        if len(data) <= 48:
-            ids = merge_bytes(self.transducer.ranks, data)
-        else:
-            ids = list(self.transducer.run([data]))
-        value = len(ids) if self.count_only else tuple(ids)
+        ids = tuple(self.transducer.run((data,)))
+        value = len(ids) if self.count_only else ids
         if len(data) <= 256:
             if len(self) >= MEMO:
                 self.clear()
@@ -201,20 +210,40 @@ class Memo(dict):
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], ahead: int | None = None):
+        self.transducer = Transducer(ranks, lookahead(ranks) if ahead is None else ahead)
         self.ids, self.sizes = Memo(self.transducer), Memo(self.transducer, True)
 
-    def words(self, text: str) -> Iterable[str]:
-        if len(text) <= BLOCK:
-            return _split(text)
-        return pretokens(text[i : i + BLOCK] for i in range(0, len(text), BLOCK))
+    def stream(self, blocks: Iterable[str]) -> Iterator[int]:
+        """The ids of a text that comes in blocks, in memory that does not grow with it."""
+        pieces = pretokens(blocks)
+        for piece, ends in pieces:
+            if ends:
+                yield from self.ids[piece]
+                continue
+
+            def rest(first: str = piece) -> Iterator[bytes]:
+                yield first.encode()
+                for more, last in pieces:
+                    yield more.encode()
+                    if last:
+                        return
+
+            yield from self.transducer.run(rest())
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.ids.__getitem__, self.words(text)))) if text else []
+        if not text:
+            return []
+        if len(text) <= BLOCK:
+            return list(chain.from_iterable(map(self.ids.__getitem__, _split(text))))
+        return list(self.stream(text[i : i + BLOCK] for i in range(0, len(text), BLOCK)))
 
     def count(self, text: str | None) -> int:
-        return sum(map(self.sizes.__getitem__, self.words(text))) if text else 0
+        if not text:
+            return 0
+        if len(text) <= BLOCK:
+            return sum(map(self.sizes.__getitem__, _split(text)))
+        return sum(1 for _ in self.stream(text[i : i + BLOCK] for i in range(0, len(text), BLOCK)))
 
 
 class Decoder:
@@ -240,18 +269,24 @@ class Decoder:
 _encoders: dict[int, Encoder] = {}
 
 
-def encoder_of(raw: bytes) -> Encoder:
-    """One encoder a worker process; the vocabulary came with the broadcast."""
-    key = hash(raw)
+def encoder_of(shipped: tuple[bytes, int]) -> Encoder:
+    """One encoder a worker process; the vocabulary and its lookahead came with the broadcast."""
+    key = hash(shipped)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(parse_vocabulary(raw))
+        _encoders[key] = Encoder(parse_vocabulary(shipped[0]), shipped[1])
     return _encoders[key]
 
 
+@lru_cache(maxsize=4)
+def _lookahead_of(raw: bytes) -> int:
+    return lookahead(parse_vocabulary(raw))
+
+
 def _ship(df: DataFrame, vocabulary: str | None):
     # one vocabulary file, under 1 MB whatever the corpus
-    return df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary or default_vocabulary()))
+    raw = read_vocabulary(vocabulary or default_vocabulary())
+    return df.sparkSession.sparkContext.broadcast((raw, _lookahead_of(raw)))
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -263,8 +298,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
         for batch in batches:
             offsets, flat = [0], array("i")
             for value in batch.column(1).to_pylist():
-                if value:
-                    flat.extend(chain.from_iterable(map(encode.ids.__getitem__, encode.words(value))))
+                flat.extend(encode.encode(value))
                 offsets.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(flat), pa.int32()) if len(flat) else pa.array([], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["k", "ids"])
