@@ -1,9 +1,14 @@
 """The licence that applies to each source file and repository.
 
-Every statement (a licence field, a line of a header or licence file) is normalised: copyright lines go, case,
-punctuation and the spellings of names, versions and clause counts are made one. Its word runs are hashed and
-equi-joined with the hashes of licence templates; of overlapping hits the longest counts. Distinct statements are
-matched once, however many files carry them. Licence files are inherited from the nearest folder that has any.
+Every statement (a licence field, a line of a header or licence file, and its whole text) is normalised: copyright lines
+go, case, punctuation and the spellings of names, versions and clause counts are made one. Its word runs are hashed and
+equi-joined with the hashes of licence templates; of overlapping hits the longest counts. Templates are the names of the
+catalogue in all their forms, further names of well-known licences, and the sentences by which licence texts open. Only
+runs that begin with a template's first word and have a template's length are hashed. Distinct statements are matched
+once, however many files carry them. Licence files are inherited from the nearest folder that has any.
+
+A name of one word (MIT, ISC, Unlicense) counts only between words that a statement of a licence has there; a name that
+is denied ("not", "formerly", "instead of" shortly before it) does not count, the rest of its statement does.
 
 Defined cases: null, blank and unrecognised statements name nothing; a source may name several licences (a choice);
 no source naming any gives ``unknown``, disjoint sources give ``conflict``, else ``ok``; repeated rows count once;
@@ -33,14 +38,23 @@ FAMILIES = {
     "BSD-2-Clause": (["bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd", "bsd simplified"], ""),
     "BSD-3-Clause": (["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd", "bsd new"], ""),
 }
-#: A name of one word counts only in a statement that has nothing but names and these words.
-FRAME = set(
-    "a above all an and any are as at authors be both by can choice choose code copyright dual either everything file "
-    "folder follow following for found found free from generated here i id identifier in is it its license licensed may module name of offered "
-    "on option or package program project provided redistribute released repository root see software source spdx suits take "
-    "terms that the these this to tri triple under unit use used whichever with you your which project's text type".split()
-)
-LONGEST = 7
+#: Sentences of licence texts that no other licence has; fixed values.
+TEXTS = {
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-3-Clause": ["may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "GPL-2.0": ["GNU General Public License as published by the Free Software Foundation; either version 2"],
+    "GPL-3.0": ["GNU General Public License as published by the Free Software Foundation, either version 3"],
+    "LGPL-2.1": ["GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"],
+    "AGPL-3.0": ["GNU Affero General Public License as published by the Free Software Foundation, either version 3"],
+}
+#: A text that holds the sentence of the second licence is that licence's, though it holds the first one's too.
+WIDER = {"BSD-2-Clause": "BSD-3-Clause"}
+# Words that may stand before and after a name of one word, and words that deny the name they precede.
+BEFORE = frozenset("the a an and or under by of to in as either both dual triple follow license licensed licence identifier spdx use uses type name".split())
+AFTER = frozenset("license licensed licence or and not but as at see whichever with for which that code text file terms style in from if when".split())
+DENIED = frozenset("not no never neither nor formerly previously without except instead rather former".split())
 
 
 def canonical(c: Column) -> Column:
@@ -64,49 +78,61 @@ def canonical(c: Column) -> Column:
     return F.trim(c)
 
 
+def _forms(name: Column) -> Column:
+    """The forms of a normalised name: with and without the word license, before and after the version."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(name, r"\blicense\b", ""), r"\s+", " "))
+    family, version = F.regexp_extract(bare, r"^(.*?)((?: \d[\d.]*)?)$", 1), F.trim(F.regexp_extract(bare, r"^(.*?)((?: \d[\d.]*)?)$", 2))
+    spelled = [F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in parts]) for parts in ((family, version), (family, F.lit("license"), version), (family, version, F.lit("license")))]
+    return F.array_distinct(F.filter(F.array(name, *spelled), lambda f: (f != "") & (f != "license")))
+
+
 def templates(catalog: DataFrame) -> DataFrame:
-    """(hash, license_id, words, weak): a row for each spelling of each licence of the catalogue."""
+    """(license_id, h, words, first, text): a row for each form of each licence of the catalogue; text marks sentences."""
     spark = catalog.sparkSession
-    rows = []
-    for licence, (names, version) in FAMILIES.items():
-        for name in names:
-            forms = {f"{name} {version}".strip(), f"{name} license {version}".strip(), f"{name} {version} license".strip()}
-            rows += [(licence, form) for form in forms]
-    own = spark.createDataFrame(rows, "license_id string, form string").join(catalog.select("license_id").distinct(), "license_id")
-    named = catalog.select("license_id", F.explode(F.array("license_id", "full_name")).alias("form")).where("form is not null")
-    forms = own.unionByName(named).select("license_id", canonical(F.col("form")).alias("form")).distinct()
-    return forms.select("license_id", F.xxhash64("form").alias("h"), F.size(F.split("form", " ")).alias("words"))
+    rows = [(licence, f"{name} {version}".strip(), False) for licence, (names, version) in FAMILIES.items() for name in names]
+    rows += [(licence, text, True) for licence, texts in TEXTS.items() for text in texts]
+    own = spark.createDataFrame(rows, "license_id string, form string, text boolean").join(catalog.select("license_id").distinct(), "license_id")
+    named = catalog.select("license_id", F.explode(F.array("license_id", "full_name")).alias("form"), F.lit(False).alias("text")).where("form is not null")
+    forms = own.unionByName(named).withColumn("form", canonical(F.col("form")))
+    forms = forms.select("license_id", "text", F.explode(F.when(F.col("text"), F.array("form")).otherwise(_forms(F.col("form")))).alias("form")).distinct()
+    words = F.split("form", " ")
+    return forms.select("license_id", F.xxhash64("form").alias("h"), F.size(words).alias("words"), words[0].alias("first"), "text")
 
 
 def named_licences(statements: DataFrame, catalog: DataFrame) -> DataFrame:
     """statements(text) -> (text, licences): the set of licences each distinct statement names; none where it names none."""
-    s = statements.where("text is not null").select("text").distinct()
-    s = s.select("text", canonical(F.col("text")).alias("c"))
-    s = s.where(F.col("c").rlike(r"\b(mit|isc|expat|apache|asl|bsd|freebsd|a?l?gpl|gnu|mpl|mozilla|public)\b"))
-    s = s.where(~F.col("c").rlike(r"^(copyright|\(c\)|rights holder|\d{4} )|\b(removed|formerly|previously|not|never|no longer)\b"))
-    s = s.withColumn("w", F.split("c", " "))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.lit(LONGEST)),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))),
-            lambda i: F.struct(i.alias("at"), n.alias("n"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("h")),
-        ),
-    )
-    grams = s.select("text", "w", F.explode(F.flatten(runs)).alias("g")).select("text", "w", "g.*").where(F.col("at") + F.col("n") - 1 <= F.size("w"))
     t = templates(catalog)
-    hits = grams.join(t, ["h"]).where(F.col("n") == F.col("words"))
-    found = hits.groupBy("text").agg(F.first("w").alias("w"), F.collect_set(F.struct("at", "n", "license_id")).alias("all"))
+    # a row for each first word and length of a template: bounded by the catalogue, whatever the statements
+    shapes = t.groupBy("first").agg(F.collect_set("words").alias("sizes")).collect()
+    none = statements.select("text", F.array().cast("array<string>").alias("licences")).limit(0)
+    if not shapes:
+        return none
+    sizes = F.create_map(*[x for r in shapes for x in (F.lit(r["first"]), F.array(*map(F.lit, sorted(r["sizes"]))))])
+    s = statements.where("text is not null").select("text").distinct()
+    s = s.select("text", F.split(canonical(F.col("text")), " ").alias("w"))
+    places = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.map_contains_key(sizes, F.element_at("w", i)))
+    fitting = lambda i: F.filter(F.element_at(sizes, F.element_at("w", i)), lambda n: i + n - 1 <= F.size("w"))
+    runs = F.flatten(F.transform(places, lambda i: F.transform(fitting(i), lambda n: F.struct(i.alias("at"), n.alias("n"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("h")))))
+    among = lambda words, known: F.arrays_overlap(words, F.array(*map(F.lit, sorted(known))))
+    at, n = F.col("at"), F.col("n")
+    before, after = F.slice("w", F.greatest(at - 1, F.lit(1)), F.when(at > 1, 1).otherwise(0)), F.slice("w", at + n, F.lit(1))
+    fits_after = (F.size(after) == 0) | among(after, AFTER) | F.coalesce(F.try_element_at(after, F.lit(1)).rlike(r"^\d"), F.lit(False))
+    odd = (n == 1) & ~(((F.size(before) == 0) | among(before, BEFORE)) & fits_after)
+    denied = among(F.slice("w", F.greatest(at - 3, F.lit(1)), F.least(at - 1, F.lit(3))), DENIED)
+    grams = s.select("text", "w", F.explode(runs).alias("g")).select("text", "w", "g.*").select("text", "at", "n", "h", odd.alias("odd"), denied.alias("denied"))
+    hits = grams.join(t.select("h", F.col("words").alias("n"), "license_id", F.col("text").alias("sentence")), ["h", "n"]).where(~F.col("denied"))
+    # names of one word next to another name, as in "MIT OR ISC", stand between words of the list; so do versions
+    found = hits.groupBy("text").agg(F.collect_set(F.struct("at", "n", "license_id", "sentence", "odd")).alias("all"))
     inside = lambda a, b: (b["n"] > a["n"]) & (b["at"] <= a["at"]) & (b["at"] + b["n"] >= a["at"] + a["n"])
-    longest = F.filter("all", lambda a: ~F.exists("all", lambda b: inside(a, b)))
-    found = found.withColumn("all", longest)
-    frame = F.array(*map(F.lit, sorted(FRAME)))
-    spare = F.filter(
-        F.transform("w", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))),
-        lambda p: ~F.exists("all", lambda m: (m["at"] <= p["i"]) & (p["i"] < m["at"] + m["n"])) & ~F.array_contains(frame, p["x"]) & ~p["x"].rlike(r"^\d"),
-    )
-    found = found.withColumn("spare", F.size(spare))
-    kept = F.filter("all", lambda m: (m["n"] > 1) | (F.col("spare") == 0))
-    return found.select("text", F.array_sort(F.array_distinct(F.transform(kept, lambda m: m["license_id"]))).alias("licences")).where(F.size("licences") > 0)
+    touches = lambda a, b: (b["at"] + b["n"] == a["at"]) | (a["at"] + a["n"] == b["at"])
+    kept = F.filter("all", lambda a: ~F.exists("all", lambda b: inside(a, b)))
+    kept = F.filter(kept, lambda a: ~a["odd"] | F.exists("all", lambda b: touches(a, b)))
+    holds = lambda licence: F.exists("kept", lambda b: b["sentence"] & (b["license_id"] == licence))
+    kept = found.select("text", kept.alias("kept"))
+    for one, other in WIDER.items():
+        less = F.filter("kept", lambda a: ~(a["sentence"] & (a["license_id"] == one)))
+        kept = kept.withColumn("kept", F.when(holds(other), less).otherwise(F.col("kept")))
+    return kept.select("text", F.array_sort(F.array_distinct(F.transform("kept", lambda m: m["license_id"]))).alias("licences")).where(F.size("licences") > 0)
 
 
 _opening = re.compile(r"\s*(?:(//[^\n]*)|(\#[^\n]*)|(/\*.*?(?:\*/|\Z))|([rbuRBU]?(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z))))", re.S)
@@ -128,9 +154,9 @@ def opening_comment(text: str | None, path: str | None) -> list[str]:
 
 
 def _statements(lines: list[str]) -> list[str]:
-    """The lines, and each two neighbours, as a name may be wrapped."""
-    kept = [x for x in lines if not re.match(r"(?i)\s*(copyright|\(c\)|©|rights holder)", x)]
-    return list(dict.fromkeys([*kept, *(f"{a} {b}" for a, b in zip(kept, kept[1:]))]))
+    """The lines, each two neighbours, as a name may be wrapped, and the whole, for the sentences of a text."""
+    kept = [x for x in lines if not re.match(r"(?i)\s*(copyright\b|\(c\)|©|rights holder)", x)]
+    return list(dict.fromkeys([*kept, *(f"{a} {b}" for a, b in zip(kept, kept[1:])), " ".join(kept)]))
 
 
 def header_statements(files: DataFrame) -> DataFrame:

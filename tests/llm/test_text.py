@@ -143,8 +143,12 @@ def test_split_only_long_texts(spark):
 CATALOG = [(k, k) for k in licenses.FAMILIES]
 
 
+MORE = [("Zlib", "zlib License"), ("EPL-2.0", "Eclipse Public License 2.0"), ("CC0-1.0", "Creative Commons Zero v1.0 Universal"), ("Unlicense", "The Unlicense"), ("X-1.0", None), (None, None)]
+BSD2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+
+
 def test_licence_names(spark):
-    catalog = spark.createDataFrame(CATALOG, "license_id string, full_name string")
+    catalog = spark.createDataFrame(CATALOG + MORE, "license_id string, full_name string")
     cases = {
         "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
         "GPLv2+": ["GPL-2.0"],
@@ -155,6 +159,22 @@ def test_licence_names(spark):
         "The MIT Licence": ["MIT"],
         "mit": ["MIT"],
         "Wir lesen mit dem Puffer": None,
+        "Wir lesen mit dem Puffer License: Apache 2": ["Apache-2.0"],
+        "You can redistribute this unit provided that you follow the mit.": ["MIT"],
+        "Take it under mit or Apache2, whichever suits you.": ["Apache-2.0", "MIT"],
+        "MIT, not GPL 3": ["MIT"],
+        "licensed under the MIT License; the header may not be removed": ["MIT"],
+        "formerly under the MIT License, now ISC License": ["ISC"],
+        "MIT (see acme docs)": ["MIT"],
+        "zlib License": ["Zlib"],
+        "SPDX-License-Identifier: EPL-2.0": ["EPL-2.0"],
+        "Eclipse Public License v2.0": ["EPL-2.0"],
+        "Creative Commons Zero v1.0 Universal": ["CC0-1.0"],
+        "The Unlicense": ["Unlicense"],
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the X)": ["MIT"],
+        BSD2: ["BSD-2-Clause"],
+        BSD2 + ": Neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": ["BSD-3-Clause"],
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version": ["LGPL-2.1"],
         "see LICENSE": None,
         "": None,
         "BSD": None,
