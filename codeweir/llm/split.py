@@ -39,8 +39,8 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
 def successors(at: np.ndarray, strength: np.ndarray, start: int, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """For every boundary (and the text's start, first) the farthest legal next cut, and where its piece starts.
 
-    The piece after a cut starts at the first boundary in the overlap's window before it, so that it opens at a break,
-    else exactly the overlap before. Among the cuts in reach a stronger break wins in the last half of the piece.
+    The piece after a cut starts at the first boundary in the first half of the overlap's window before it, so that it
+    opens at a break and repeats at least half of the overlap, else exactly the overlap before. Among the cuts in reach a stronger break wins in the last half of the piece.
     Where a reach holds no boundary, positions between characters are added."""
     end = int(at[-1])
     nodes = np.concatenate(([start], at))
@@ -60,7 +60,8 @@ def successors(at: np.ndarray, strength: np.ndarray, start: int, limit: int, ove
             extra.append(fresh)
     low = np.searchsorted(nodes, np.maximum(nodes - overlap, start), "left")
     opened = nodes[low]
-    begin = np.where((nodes > start) & (opened < nodes) & (power[low] > 0), opened, np.maximum(nodes - overlap, start))
+    near = opened <= nodes - (overlap + 1) // 2
+    begin = np.where((nodes > start) & near & (opened < nodes) & (power[low] > 0), opened, np.maximum(nodes - overlap, start))
     reach = np.minimum(begin + limit, end)
     last = np.searchsorted(nodes, reach, "right") - 1
     nxt = last.copy()
@@ -98,6 +99,17 @@ def cuts(texts: list[str], limit: int, overlap: int) -> list[list[tuple[int, int
     return out
 
 
+def _portions(b: pd.DataFrame, rows: int = 256, room: int = 1 << 26) -> Iterator[pd.DataFrame]:
+    """Rows to be cut together: as the chains of a portion are as long as its longest text's, rows times the longest text
+    stay below room characters; a longer text goes alone."""
+    b = b.iloc[np.argsort(b["_t"].str.len().to_numpy(), kind="stable")]
+    sizes, low = b["_t"].str.len().to_numpy(), 0
+    for high in range(1, len(b) + 1):
+        if high == len(b) or high - low == rows or (high + 1 - low) * sizes[high] > room:
+            yield b.iloc[low:high]
+            low = high
+
+
 def split_oversized(df: DataFrame, key: str, fields: tuple[str, ...], limit: int = 6000, overlap: int = 200) -> DataFrame:
     """(key, field, piece, start, end, text) for every field of every key with more than limit code points.
 
@@ -113,8 +125,7 @@ def split_oversized(df: DataFrame, key: str, fields: tuple[str, ...], limit: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
+            for part in _portions(b):
                 texts, out = part["_t"].tolist(), []
                 for k, f, t, spans in zip(part["_k"], part["field"], texts, cuts(texts, limit, overlap)):
                     out += [(k, f, i, s, e, t[s:e]) for i, (s, e) in enumerate(spans)]
