@@ -63,7 +63,7 @@ def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p6_pairs(spark, sf).select("id", "name")
+    return p6_pairs(spark, sf).select("id", "name").distinct()
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -128,7 +128,7 @@ def test_pieces_cover_overlap_and_break():
         overlap = rng.randint(0, limit - 1)
         for t, spans in zip([text, "y" * 100], split.cuts([text, "y" * 100], limit, overlap)):
             assert spans[0][0] == 0 and spans[-1][1] == len(t) and all(0 < e - s <= limit for s, e in spans)
-            assert all(c <= b and b - c <= overlap and d > b for (_, b), (c, d) in zip(spans, spans[1:]))
+            assert all(c <= b and overlap // 2 <= b - c <= overlap and d > b for (_, b), (c, d) in zip(spans, spans[1:]))
     lines = "".join(f"line {i}\n" for i in range(2000))
     assert all(lines[e - 1] == "\n" for s, e in split.cuts([lines], 600, 50)[0])
 
@@ -246,6 +246,9 @@ def test_function_descriptions(spark):
     df = spark.createDataFrame(rows + rows[:1], "id string, kind string, code_language string, path string, signature string, summary string, content string, preview string")
     got = sorted((r["id"], r["name"]) for r in docpairs.pair(df).collect())
     assert got == [("r:a.go:1:g", "g"), ("r:a.java:1:run", "run"), ("r:a.py:1:f", "f"), ("r:a.ts:1:K", "one")]
+    both = f"class K {{\n  /** {good} */\n  int add(int a) {{ }}\n  /** {good} */\n  int add(long a) {{ }}\n  int add() {{ }}\n}}"
+    overloads = df.limit(0).unionByName(spark.createDataFrame([("r:k.java:1:K", "class", "Java", "k.java", "class K {", None, both, None)] * 2, df.schema))
+    assert sorted((r["name"], "long" in r["declaration"]) for r in docpairs.pair(overloads).collect()) == [("add", False), ("add", True)]
 
 
 @pytest.mark.parametrize(
