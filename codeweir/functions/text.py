@@ -56,9 +56,11 @@ def features(c: Column) -> Column:
 
 
 def fnv1a(c: Column) -> Column:
-    """32-bit FNV-1a over the characters, unsigned, as a long (characters of the basic plane, as in the tokens)."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.ascii(F.substring(c, i, F.lit(1))).cast("long"))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * 16777619).bitwiseAND(4294967295))
+    """32-bit FNV-1a over the UTF-16 units, unsigned, as a long; a character beyond the basic plane is two units."""
+    points = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.ascii(F.substring(c, i, F.lit(1))).cast("long"))
+    pair = lambda x: F.array(F.lit(0xD7C0) + F.shiftright(x, 10), F.lit(0xDC00) + x.bitwiseAND(0x3FF))
+    units = F.flatten(F.transform(points, lambda x: F.when(x < 0x10000, F.array(x)).otherwise(pair(x))))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * 16777619).bitwiseAND(4294967295))
 
 
 def middle_cut(c: Column, most: int, mark: str = "\n...\n") -> Column:

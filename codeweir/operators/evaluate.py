@@ -77,3 +77,30 @@ def match_judgments(ranking: DataFrame, judgments: DataFrame) -> DataFrame:
     first = loose.groupBy("task", "repository", "symbol").agg(F.min_by("grade", "seq").alias("near"))
     keys = ["task", "repository", "symbol"]
     return r.join(exact, keys, "left").join(first, keys, "left").select(*keys, "place", F.coalesce("equal", "near", F.lit(0)).alias("grade"))
+
+
+def answers_by_source(symbols: DataFrame, sources: list[str]) -> DataFrame:
+    """symbols(title, source, id) -> (title, source, ids): the answers of each source for a title, sorted."""
+    return symbols.where(F.col("source").isin(sources)).groupBy("title", "source").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+
+
+def complete_answers(targets: DataFrame, answers: DataFrame, sources: list[str]) -> DataFrame:
+    """targets(task, title), answers(title, source, ids) -> (task, source, id), one answer a source, the first; only tasks
+    that every source answers."""
+    found = targets.join(answers, "title").select("task", "source", F.element_at("ids", 1).alias("id"))
+    whole = found.groupBy("task").agg(F.count_distinct("source").alias("n")).where(F.col("n") == len(sources))
+    return found.join(whole.select("task"), "task", "left_semi")
+
+
+def class_recall(ranking: DataFrame, answers: DataFrame, sources: int, wide: int = 20, top: int = 4) -> DataFrame:
+    """ranking(task, id, place), answers(task, source, id) -> a row: of the answers expected (tasks times sources) the
+    share found among the first wide and top places, and of the tasks the share with any, in percent."""
+    hits = answers.select("task", "id").distinct().join(ranking.groupBy("task", "id").agg(F.min("place").alias("place")), ["task", "id"], "left")
+    per = hits.groupBy("task").agg(F.count_if(F.col("place") <= wide).alias("wide"), F.count_if(F.col("place") <= top).alias("top"))
+    percent = lambda x, of: F.round(100 * F.coalesce(F.try_divide(x, of), F.lit(0.0)), 2)
+    tasks = F.count("*")
+    return per.agg(
+        tasks.alias("tasks"),
+        *[percent(F.sum(c), tasks * sources).alias(f"{c}_recall") for c in ("wide", "top")],
+        *[percent(F.count_if(F.col(c) > 0), tasks).alias(f"{c}_completion") for c in ("wide", "top")],
+    )

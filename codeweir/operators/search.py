@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+import unicodedata
 from functools import reduce
 
 import numpy as np
@@ -161,6 +164,71 @@ def document_text() -> Column:
     return F.concat_ws("\n", _lines(*map(F.col, ("title", "repository", "path", "signature", "summary")), body), F.array_join(F.coalesce("dependencies", F.array().cast("array<string>")), "\n"))
 
 
+def stored_text(expand: bool = True) -> Column:
+    """The text a full-text index holds of a document, with the forms of its tokens after it."""
+    body = F.coalesce(F.nullif(F.col("content"), F.lit("")), F.col("preview"))
+    own = F.concat_ws("\n", _lines(*map(F.col, ("title", "repository", "path", "signature", "summary")), body), F.array_join(F.coalesce("dependencies", F.array().cast("array<string>")), " "))
+    return F.concat_ws("\n", own, F.array_join(search_tokens(own), " ")) if expand else own
+
+
+def embedding_text() -> Column:
+    """The text a document is embedded by: neither repository nor path."""
+    body = F.coalesce(F.nullif(F.col("content"), F.lit("")), F.col("preview"))
+    return F.concat_ws("\n", _lines(*map(F.col, ("title", "signature", "summary")), body), "dependencies")
+
+
+def embed(df: DataFrame, key: str, text: str, provider, dimension: int, size: int = 32, tries: int = 3, wait: float = 0.5) -> DataFrame:
+    """(key, embedding) by a provider: a picklable function of a list of texts to (index, vector) pairs in any order.
+
+    Texts go in batches of size. An answer must have one vector of finite numbers and the right size for each text; a
+    failed call (ConnectionError, TimeoutError) is repeated after wait, twice that, and so on."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), size):
+                part = b.iloc[at : at + size]
+                yield pd.DataFrame({"k": part["k"], "embedding": _answered(provider, part["t"].tolist(), dimension, tries, wait)})
+
+    source = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return source.mapInPandas(run, f"k {df.schema[key].dataType.simpleString()}, embedding array<double>").withColumnRenamed("k", key)
+
+
+def _answered(provider, texts: list[str], dimension: int, tries: int, wait: float) -> list[list[float]]:
+    for attempt in range(tries):
+        try:
+            answer = dict(provider(texts))
+            break
+        except (ConnectionError, TimeoutError):
+            if attempt + 1 == tries:
+                raise
+            time.sleep(wait * 2**attempt)
+    if sorted(answer) != list(range(len(texts))):
+        raise ValueError("not one vector for each text")
+    if any(len(v) != dimension or not np.isfinite(v).all() for v in answer.values()):
+        raise ValueError(f"not {dimension} finite numbers in each vector")
+    return [list(map(float, answer[i])) for i in range(len(texts))]
+
+
+def hash_provider(dimension: int = 384):
+    """The provider that needs no service: hashed words and trigrams, of length 1."""
+
+    def answer(texts: list[str]) -> list[tuple[int, list[float]]]:
+        out = []
+        for i, t in enumerate(texts):
+            v = np.zeros(dimension)
+            for w in re.findall(r"\w+", unicodedata.normalize("NFKC", t).lower()):
+                for f in (f"w:{w}", *(f"g:{w[j : j + 3]}" for j in range(len(w) - 2))):
+                    h = 2166136261
+                    for unit in np.frombuffer(f.encode("utf-16-le"), np.uint16).tolist():
+                        h = (h ^ unit) * 16777619 & 0xFFFFFFFF
+                    v[h % dimension] += 1 if h < 1 << 31 else -1
+            n = np.linalg.norm(v)
+            out.append((i, (v / n if n else v).tolist()))
+        return out
+
+    return answer
+
+
 def candidate_scores(pairs: DataFrame) -> DataFrame:
     """pairs of a request (target_symbol, requirement) and a document, with the channels' scores -> the parts and the
     overall score. Token sets of both texts are made once a row and shared by all parts."""

@@ -38,6 +38,17 @@ def is_skipped(path: Column) -> Column:
     return path.rlike(r"(^|/)(node_modules|target|build|__pycache__|\.[^/]*)/") | path.rlike(r"(^|/)\.[^/]*$")
 
 
+def union_last(frames: list[DataFrame], key: str, order: str) -> DataFrame:
+    """The rows of several roots, in their order: of each key the last value, at the place of its first (column first)."""
+    both = None
+    for n, df in enumerate(frames):
+        own = df.withColumn("_at", F.struct(F.lit(n).alias("root"), F.col(order).alias("n")))
+        both = own if both is None else both.unionByName(own)
+    rest = [c for c in frames[0].columns if c != key]
+    one = both.groupBy(key).agg(F.max_by(F.struct(*rest), "_at").alias("_r"), F.min("_at").alias("first"))
+    return one.select(key, "_r.*", "first")
+
+
 def numbered(df: DataFrame, order: str, *ties: str) -> DataFrame:
     """df with a column n, the place (from 1) of each row in that order; nulls first.
 
@@ -109,3 +120,15 @@ def nearest_symbol(requests: DataFrame, symbols: DataFrame) -> DataFrame:
     t = F.col("target_symbol")
     r = requests.select("request_id", part(t["id"], 1).alias("r"), t["path"].alias("path"), t["line_no"].alias("at"))
     return r.join(own, ["r", "path"]).groupBy("request_id").agg(F.min_by("id", F.struct(F.abs(F.col("line") - F.col("at")), "line", "id")).alias("id"))
+
+
+def callers(requests: DataFrame, files: DataFrame, most: int = 3) -> DataFrame:
+    """requests(request_id, repository, name, path, line), files(repository, path, file_text) -> (request_id, path, line,
+    place): the first lines that call the name, in other places of the repository. Lines meet names by an equi-join on the
+    called word, so no pair of request and file is made; a request keeps its first calls only, before the shuffle."""
+    lines = files.select("repository", "path", F.posexplode(F.split("file_text", r"\r\n|\r|\n")).alias("n", "text"))
+    called = lines.select("repository", "path", (F.col("n") + 1).alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][\w$]*)\s*\("), F.lit(1)))).alias("name"))
+    r = requests.select("request_id", "repository", "name", F.col("path").alias("own"), F.col("line").alias("own_line"))
+    met = called.join(r, ["repository", "name"]).where((F.col("path") != F.col("own")) | (F.col("at") != F.col("own_line")))
+    w = Window.partitionBy("request_id").orderBy("path", "at")
+    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("request_id", "path", F.col("at").alias("line"), "place")

@@ -86,3 +86,68 @@ def running_accepted(steps: DataFrame) -> DataFrame:
     """steps(run, seq, accepted) -> the number accepted so far, in order."""
     w = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return steps.withColumn("accepted_so_far", F.sum(F.col("accepted").cast("int")).over(w))
+
+
+def verify_runs(cases: DataFrame, source: DataFrame, target: DataFrame, tolerance: float | None = None, relative: float | None = None) -> DataFrame:
+    """cases(run, case_id, seq) and both sides' results (run, case_id, outcome, value, exception) -> (run, case_id,
+    verdict, detail, place). A run of which a side gave no results at all is divergent in every described case; else its
+    results are compared, also of cases that were not described. Rows are in the described order, others last."""
+    keys = ["run", "case_id"]
+    sides = {"source": source, "target": target}
+    usable = cases.select("run").distinct()
+    for name, rows in sides.items():
+        usable = usable.join(rows.select("run").distinct().withColumn(name, F.lit(True)), "run", "left")
+    usable = usable.select("run", *[F.coalesce(n, F.lit(False)).alias(n) for n in sides])
+    both = F.col("source") & F.col("target")
+    whole = lambda df: df.join(usable.where(both), "run", "left_semi").withColumn("case_id", F.struct(*keys)).drop("run")
+    done = compare(whole(source), whole(target), tolerance, relative).select("case_id.run", "case_id.case_id", "verdict", "detail")
+    silent = F.concat_ws(" ", *[F.when(~F.col(n), f"no results of the {n}.") for n in sides])
+    lost = cases.join(usable.where(~both), "run").select(*keys, F.lit("divergent").alias("verdict"), silent.alias("detail"))
+    order = Window.partitionBy("run").orderBy(F.asc_nulls_last("seq"), "case_id")
+    return done.unionByName(lost).join(cases.select(*keys, "seq"), keys, "left").withColumn("place", F.row_number().over(order)).drop("seq")
+
+
+def diagnosis(report: DataFrame, inputs: DataFrame) -> DataFrame:
+    """The cases of a report that did not pass, with their inputs; those without inputs have an empty list."""
+    failed = report.where(F.col("verdict") != "pass")
+    j = failed.join(inputs, "case_id", "left")
+    return j.withColumn("inputs", F.coalesce("inputs", F.array().cast(inputs.schema["inputs"].dataType)))
+
+
+def first_records(records: DataFrame, key: list[str], *order: str) -> DataFrame:
+    """The first record of each key in the given order; one aggregate, which combines before the shuffle."""
+    rest = [c for c in records.columns if c not in key]
+    return records.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
+
+
+def with_status(declared: DataFrame, results: DataFrame) -> DataFrame:
+    """declared(class, test) with the status of its result, unverified where there is none."""
+    return declared.join(results, "test", "left").withColumn("status", F.coalesce("status", F.lit("unverified")))
+
+
+def class_rate(tests: DataFrame, compiled: int | None = None) -> DataFrame:
+    """tests(class, status) -> a row: classes of which every test passes, over those that compile."""
+    per = tests.groupBy("class").agg(F.bool_and(F.col("status") == "pass").alias("ok"))
+    total = F.count("*") if compiled is None else F.lit(compiled)
+    return per.agg(F.count("*").alias("classes"), F.count_if("ok").alias("passed"), F.round(F.coalesce(F.try_divide(F.count_if("ok"), total), F.lit(0.0)), 6).alias("rate"))
+
+
+def dependency_blockers(plan: DataFrame) -> DataFrame:
+    """plan(id, dependency, target, action) -> (id, blockers): unresolved dependencies, and those to be reused or adapted
+    that name no target; an item without any is not listed."""
+    nameless = F.col("action").isin("reuse-existing", "adapt") & (F.trim(F.coalesce("target", F.lit(""))) == "")
+    blocked = plan.where((F.col("action") == "unresolved") | nameless)
+    return blocked.groupBy("id").agg(F.sort_array(F.collect_set("dependency")).alias("blockers"))
+
+
+def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The keys that occur more than once, and how often."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def merge_batches(scored: DataFrame, size: int = 20) -> DataFrame:
+    """scored(request_id, id, seq, score): candidates are scored in batches of size in order of seq; the batches are merged
+    by score, the earlier first on a tie -> with batch and place."""
+    own = Window.partitionBy("request_id")
+    batched = scored.withColumn("batch", F.floor((F.row_number().over(own.orderBy("seq")) - 1) / size))
+    return batched.withColumn("place", F.row_number().over(own.orderBy(F.desc_nulls_last("score"), "seq")))
