@@ -67,6 +67,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.pairs_in_groups(neardup.near_duplicates(df.limit(0))).count() == 0
 
 
+def test_hot_buckets_are_divided(spark, monkeypatch):
+    """Unlike records with a long part in common share buckets; the number of rounds does not follow theirs."""
+    rng = random.Random(3)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(f"d{i}", common + " " + " ".join(f"w{rng.randint(0, 10**7)}" for _ in range(60))) for i in range(900)]
+    rows += [(f"e{i}", rows[i][1].replace(" w", " v", 1)) for i in range(0, 900, 50)]
+    df = spark.createDataFrame(rows, "id string, code string")
+    rounds, verified, divided = [], neardup._verified, neardup._divided
+    split = []
+    monkeypatch.setattr(neardup, "_verified", lambda *a: rounds.append(1) or verified(*a))
+    monkeypatch.setattr(neardup, "_divided", lambda hot, *a: split.append(hot.count()) or divided(hot, *a))
+    pairs = {tuple(r) for r in neardup.pairs_in_groups(neardup.near_duplicates(df, many=4)).collect()}
+    assert pairs == {(f"d{i}", f"e{i}") for i in range(0, 900, 50)}
+    assert len(rounds) <= 2 * neardup.DEEPEST + 2 and sum(split) > 0
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((300, 8)).astype(np.float32)
