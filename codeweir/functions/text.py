@@ -36,7 +36,9 @@ def word_forms(w: Column) -> Column:
 def search_tokens(c: Column, normalise: bool = True) -> Column:
     """Distinct tokens in order of first appearance; empty for null text."""
     c = F.coalesce(c, F.lit(""))
-    found = words(split_camel(nfkc(c) if normalise else c))
+    if normalise:  # only texts with other characters go to Python
+        c = F.coalesce(nfkc(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
+    found = F.array_distinct(words(split_camel(c)))  # a repeated word adds no form; the order stays
     return F.array_distinct(F.flatten(F.transform(found, word_forms)))
 
 

@@ -45,24 +45,16 @@ def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
-    """queries(qid, tokens), docs(id, tokens) -> (qid, id, score, place): BM25 over inverted lists, the best k a query.
-    Documents that share no token are not given.
+def block_topk(queries: DataFrame, docs: DataFrame, k: int, block: int = 2048, query_block: int = 65_536) -> DataFrame:
+    """queries(qid, e: array<struct<t, x>>), docs(id, tokens, w) -> (qid, id, score, place): the best k documents of each
+    query by w times the sum of x over shared tokens, to six digits; documents that share none are not given.
 
-    As in vector_topk, blocks of queries meet blocks of documents; each pair of blocks sums the lists of a query's tokens
-    and keeps k, and a window merges the blocks. No row is made for a pair of query and document that is not kept."""
-    docs = write_shared(docs.select("id", "tokens"))
-    n = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg"))  # one row
-    nq, nd = (max(1, -(-x.count() // block)) for x in (queries, docs))
-    asked = queries.select("qid", F.explode("tokens").alias("t"))
-    df = docs.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = asked.join(df, "t").crossJoin(F.broadcast(n)).select("qid", "t", idf.alias("idf"))
-    q = terms.groupBy("qid").agg(F.collect_list(F.struct("t", "idf")).alias("e")).select("qid", F.col("e.t").alias("t"), F.col("e.idf").alias("idf"))
-    q = q.select(F.pmod(F.hash("qid"), F.lit(nq)).alias("qb"), "qid", "t", "idf").withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
-    weight = (K1 + 1) / (1 + K1 * (1 - B + B * F.size("tokens") / F.col("avg")))
-    d = docs.crossJoin(F.broadcast(n)).select(F.pmod(F.hash("id"), F.lit(nd)).alias("db"), "id", "tokens", weight.alias("w"))
-    d = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    Blocks of documents meet blocks of queries in one task a pair, which inverts the block's tokens, sums a query's lists
+    and keeps k; a window merges the blocks. A document is moved once for each block of queries, and no row is made for a
+    pair of query and document that is not kept, so a token of most documents costs no more than others."""
+    nq, nd = max(1, -(-queries.count() // query_block)), max(1, -(-docs.count() // block))
+    q = queries.select(F.pmod(F.hash("qid"), F.lit(nq)).alias("qb"), "qid", F.col("e.t").alias("t"), F.col("e.x").alias("x")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
+    d = docs.select(F.pmod(F.hash("id"), F.lit(nd)).alias("db"), "id", "tokens", "w").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         frame = lambda q, i, s: pd.DataFrame({"qid": pd.Series(q, dtype=object), "id": pd.Series(i, dtype=object), "score": pd.Series(s, dtype=float)})
@@ -77,8 +69,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 4096) ->
         edges = np.searchsorted(term[order], np.arange(len(names) + 1))
         lists = {t: members[i:j] for t, i, j in zip(names, edges[:-1], edges[1:])}
         qids, near_ids, scores = [], [], []
-        for qid, ts, idfs in zip(a["qid"], a["t"], a["idf"]):
-            met = [(lists[t], x) for t, x in zip(ts, idfs) if t in lists]
+        for qid, ts, xs in zip(a["qid"], a["t"], a["x"]):
+            met = [(lists[t], x) for t, x in zip(ts, xs) if t in lists]
             if not met:
                 continue
             parts = np.repeat([x for _, x in met], [len(m) for m, _ in met])
@@ -100,6 +92,27 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 4096) ->
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """queries(qid, tokens), docs(id, tokens) -> (qid, id, score, place): BM25, the best k a query. The tokens are made once,
+    in a written table that statistics and search share."""
+    docs = write_shared(docs.select("id", "tokens"))
+    n = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg"))  # one row
+    df = docs.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = queries.select("qid", F.explode("tokens").alias("t")).join(df, "t").crossJoin(F.broadcast(n)).select("qid", "t", idf.alias("x"))
+    q = terms.groupBy("qid").agg(F.collect_list(F.struct("t", "x")).alias("e"))
+    weight = (K1 + 1) / (1 + K1 * (1 - B + B * F.size("tokens") / F.col("avg")))
+    return block_topk(q, docs.crossJoin(F.broadcast(n)).select("id", "tokens", weight.alias("w")), k)
+
+
+def overlap_best(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """queries(qid, tokens), docs(id, tokens) -> (qid, id, score, place): the best k by shared tokens over the geometric
+    mean of both sizes; documents that share none are not given."""
+    share = 1 / F.sqrt(F.size("tokens").cast("double"))
+    q = queries.where(F.size("tokens") > 0).select("qid", F.transform("tokens", lambda t: F.struct(t.alias("t"), share.alias("x"))).alias("e"))
+    return block_topk(q, write_shared(docs.where(F.size("tokens") > 0).select("id", "tokens", share.alias("w"))), k)
+
+
 def text_normalised(scored: DataFrame) -> DataFrame:
     """Scores over the best of the query, but never over less than 1, so that weak hits are not inflated."""
     top = F.greatest(F.max("score").over(Window.partitionBy("qid")), F.lit(1.0))

@@ -85,16 +85,11 @@ def expanded_text(spark, sf):
     r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS place FROM s WHERE score > 0)
     SELECT request_id, id, score, place FROM r WHERE place <= 10""")
 def overlap_topk(spark, sf):
-    """Shared tokens are counted over a join by token, never over all pairs of request and symbol."""
+    """Blocks of requests meet blocks of symbols; no row is made for a pair that is not kept."""
     line = lambda *c: T.search_tokens(F.concat_ws("\n", *c))
-    q = table(spark, sf, "search_requests").select("request_id", line("target_symbol.name", "target_symbol.signature").alias("t"))
-    d = _symbols(spark, sf, "title", "signature").select("id", line("title", "signature").alias("t"))
-    qt = q.select("request_id", F.size("t").alias("nq"), F.explode("t").alias("w"))
-    dt = d.select("id", F.size("t").alias("nd"), F.explode("t").alias("w"))
-    shared = qt.join(dt, "w").groupBy("request_id", "id").agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
-    s = shared.select("request_id", "id", F.round(F.col("n") / F.sqrt((F.col("nq") * F.col("nd")).cast("double")), 6).alias("score"))
-    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "id")
-    return s.withColumn("place", F.row_number().over(w)).where("place <= 10")
+    q = table(spark, sf, "search_requests").select(F.col("request_id").alias("qid"), line("target_symbol.name", "target_symbol.signature").alias("tokens"))
+    d = _symbols(spark, sf, "title", "signature").select("id", line("title", "signature").alias("tokens"))
+    return search.overlap_best(q, d).withColumnRenamed("qid", "request_id")
 
 
 _FEATURES = rf"""(SELECT request_id, unnest(flatten(list_transform({_words("coalesce(requirement, '')", False)},
