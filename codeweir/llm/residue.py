@@ -54,7 +54,7 @@ _holder = re.compile(
     rf"\{{\{{\s*{_N}?\s*\}}\}}|<%[=-]?\s*{_N}\s*%>|[$#]\{{\s*{_N}\s*\}}|%\({_N}\)[sSdD]|\[\[\s*{_N}\s*\]\]|\{{%\s*{_N}\s*%\}}|\$\$\s*{_N}\s*\$\$|@@\s*{_N}\s*@@"
     r"|(?<![\w_])__(?!(?:init|main|name|all|str|repr|call|enter|exit|len|iter|next|doc|file|dict|class|future|version|new|eq|hash)__)[A-Za-z](?:\w|[ ])*?[^_ ]__(?![\w_])"
     rf"|<\s*insert {_N} here\s*>|&lt;\s*{_N}\s*&gt;|(?<![\w/])<(?!(?:A|B|I|P|BR|HR|LI|UL|OL|EM|TD|TR|TH|H\d|DIV|PRE|SPAN|HTML|HEAD|BODY|TITLE|TABLE|CODE|STRONG|NOSCRIPT|SCRIPT|IMG)>)[A-Z][A-Z0-9_]+(?: [A-Z0-9_]+)*>"
-    r"|(?<!\w)\[(?!(?:TODO|WIP|RFC|BUG|API|PR|OK|NOTE|INFO|WARN|ERROR)\])[A-Z][A-Z0-9_]{2,}(?: [A-Z0-9_]+)*\](?![(:\[])|(?<![\w%])%[A-Za-z][\w ]{0,40}[A-Za-z_]%(?![\w%])|«\s*[A-Z][A-Z0-9_]+(?: [A-Z0-9_]+)*\s*»"
+    r"|(?<!\w)\[(?!(?:TODO|WIP|RFC|BUG|API|PR|OK|NOTE|INFO|WARN|ERROR)\])[A-Z][A-Z0-9_]{2,}(?: [A-Z0-9_]+)*\](?![(\[]|:\s*(?:\w+:|[/<#.]))|(?<![\w%])%[A-Za-z][\w ]{0,40}[A-Za-z_]%(?![\w%])|«\s*[A-Z][A-Z0-9_]+(?: [A-Z0-9_]+)*\s*»"
     r"|\[object object\]",
 )
 _holder_any_case = re.compile(rf"\[object object\]|<\s*insert {_N} here\s*>|^\W*\[(?:content|text|title|name|description|summary)\]\W*$", re.I | re.M)

@@ -258,6 +258,8 @@ def test_function_descriptions(spark):
         (" \n", []),
         ("Owner: {{ release_date }}", ["placeholder"]),
         ("Report for NaN: three of four cases passed.", ["placeholder"]),
+        ("Report for [MODULE_NAME]: three of four cases passed.", ["placeholder"]),
+        ("[GUIDE]: https://a.b/c", []),
         ("The generator replaces `{{crest}}` with the name.", []),
         ("The slot {fence} in the set notation means a single element.", []),
         ("```\n# {{ title }}\n```\nReal text follows here.", []),
