@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeweir.session import write_shared
 
 EXTENSIONS = {"ts": "TypeScript", "tsx": "TypeScript", "py": "Python", "java": "Java", "cs": "C#", "rs": "Rust", "go": "Go"}
+IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
 LANGUAGES = ("TypeScript", "Python", "Java", "C#", "Rust", "Go")
 
 
@@ -75,6 +76,9 @@ def manifest_issues(manifests: DataFrame) -> DataFrame:
         "no repository": F.col("repository").isNull() | (F.trim("repository") == ""),
         "unknown language": ~F.coalesce(F.col("code_language").isin(*LANGUAGES), F.lit(False)),
         "no licence": F.col("license").isNull() | (F.trim("license") == ""),
+        # an alias is an identifier for an identifier
+        "invalid alias": F.coalesce(F.exists(F.map_entries("retrieval_class_aliases"), lambda e: ~(e["key"].rlike(IDENTIFIER) & F.coalesce(e["value"], F.lit("")).rlike(IDENTIFIER))), F.lit(False)),
+        "empty dependency": F.coalesce(F.exists("dependencies", lambda d: d.isNull() | (F.trim(d) == "")), F.lit(False)),
         "source root escapes": F.coalesce(F.col("source_root").rlike(r"(^|/)\.\.(/|$)|^/"), F.lit(False)),
     }
     found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())

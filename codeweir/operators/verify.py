@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweir.functions.values import exception_alias
+from codeweir.functions.values import exception_alias, typed_equal
 
 
 def numbers_equal(a: Column, b: Column, tolerance: float | None = None, relative: float | None = None) -> Column:
@@ -18,19 +18,29 @@ def numbers_equal(a: Column, b: Column, tolerance: float | None = None, relative
     return F.coalesce(equal, F.lit(False))
 
 
-def compare(source: DataFrame, target: DataFrame, tolerance: float | None = None, relative: float | None = None) -> DataFrame:
+def values_equal(a: Column, b: Column, tagged: bool, tolerance: float | None, relative: float | None, fold_case: bool) -> Column:
+    """Numbers by the tolerances; JSON of tagged values by the recursive comparison, text that is no JSON by itself."""
+    if not tagged:
+        return numbers_equal(a, b, tolerance, relative)
+    return F.coalesce(a == b, F.lit(False)) | typed_equal(a, b, tolerance, relative, fold_case)
+
+
+def compare(source: DataFrame, target: DataFrame, tolerance: float | None = None, relative: float | None = None, fold_case: bool = False) -> DataFrame:
     """(case_id, outcome, value, exception) of two sides -> (case_id, verdict, detail): a case of one side only is
-    divergent, as are different outcomes; exceptions are compared by their common names, values with the tolerances."""
+    divergent, as are different outcomes; exceptions are compared by their common names, values with the tolerances.
+    Values are numbers, or strings of tagged JSON."""
     s = source.select("case_id", F.struct("outcome", "value", "exception").alias("s"))
     t = target.select("case_id", F.struct("outcome", "value", "exception").alias("t"))
     both = s.join(t, "case_id", "full_outer")
     same_error = exception_alias(F.col("s.exception")).eqNullSafe(exception_alias(F.col("t.exception")))
+    tagged = source.schema["value"].dataType.simpleString() == "string"
+    alike = values_equal(F.col("s.value"), F.col("t.value"), tagged, tolerance, relative, fold_case)
     detail = (
         F.when(F.col("s").isNull(), "missing in source")
         .when(F.col("t").isNull(), "missing in target")
         .when(F.col("s.outcome") != F.col("t.outcome"), "outcomes differ")
         .when((F.col("s.outcome") == "exception") & ~same_error, "exceptions differ")
-        .when((F.col("s.outcome") == "return") & ~numbers_equal(F.col("s.value"), F.col("t.value"), tolerance, relative), "values differ")
+        .when((F.col("s.outcome") == "return") & ~alike, "values differ")
         .otherwise("")
     )
     verdict = F.when(detail.isin("missing in source", "missing in target", "outcomes differ"), "divergent").when(detail == "", "pass").otherwise("fail")
@@ -151,3 +161,12 @@ def merge_batches(scored: DataFrame, size: int = 20) -> DataFrame:
     own = Window.partitionBy("request_id")
     batched = scored.withColumn("batch", F.floor((F.row_number().over(own.orderBy("seq")) - 1) / size))
     return batched.withColumn("place", F.row_number().over(own.orderBy(F.desc_nulls_last("score"), "seq")))
+
+
+def fold_events(events: DataFrame, effects: DataFrame, key: str) -> DataFrame:
+    """events(key, event_type, seq, payload), effects(event_type, field, value) -> (key, field, value): each field as the last
+    event that has an effect on it leaves it. A value of $ is the event's payload, null clears the field. The effects are
+    a small table; one aggregate a key and field, which combines before the shuffle, does the fold."""
+    value = F.when(F.col("value") == "$", F.col("payload")).otherwise(F.col("value"))
+    met = events.join(effects, "event_type").select(key, "field", F.struct(value.alias("v")).alias("v"), "seq")
+    return met.groupBy(key, "field").agg(F.max_by("v", "seq").alias("v")).select(key, "field", F.col("v.v").alias("value"))

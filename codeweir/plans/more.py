@@ -186,6 +186,15 @@ def symbol_context(spark, sf):
     return c.select("id", F.col("c.name").alias("name"), (F.length("c.source") > 0).alias("located"))
 
 
+@query(f"SELECT id, kind FROM {_FILED} WHERE code_language = 'TypeScript'")
+def module_nodes(spark, sf):
+    """The nodes of TypeScript files that the index holds."""
+    f = _files(spark, sf).withColumn("code_language", store.language_of(F.col("path"))).where("code_language = 'TypeScript' and file_text is not null")
+    n = f.select("repository", "path", F.explode(context.module_nodes("file_text", "code_language")).alias("n"))
+    n = n.select(F.concat_ws(":", F.regexp_replace("repository", "^fixture/", ""), "path", "n.line", "n.name").alias("id"), F.col("n.kind").alias("kind"))
+    return n.join(table(spark, sf, "code_symbols").select("id").distinct(), "id", "left_semi")
+
+
 @query(f"SELECT id, CAST(1 AS INT) AS added, true AS holds FROM {_FILED}")
 def symbol_patches(spark, sf):
     """Every symbol replaced by one line: the patch applies to its file, which then holds the line and has as many lines

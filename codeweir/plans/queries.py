@@ -348,11 +348,17 @@ def accepted_counter(spark, sf):
     return verify.running_accepted(e).select("event_id", F.col("run").alias("user_id"), "accepted_so_far")
 
 
-@query("""SELECT user_id, max_by(event_type, (ts, event_id)) AS state, count(*) AS steps, count(*) FILTER (event_type = 'purchase') AS applied FROM events GROUP BY user_id""")
-def workflow_fold(spark, sf):
-    """The state a user's events lead to: the last step decides; the fold is an aggregate, as no step undoes a count."""
-    e = table(spark, sf, "events").groupBy("user_id")
-    return e.agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("steps"), F.count_if(F.col("event_type") == "purchase").alias("applied"))
+_EFFECTS = [("signup", "stage", "joined"), ("signup", "last_error", None), ("click", "stage", "active"), ("purchase", "stage", "buyer"), ("purchase", "last_purchase", "$"), ("error", "last_error", "$")]
+_EFFECT_ROWS = ", ".join(f"('{t}', '{f}', {'NULL' if v is None else repr(v)})" for t, f, v in _EFFECTS)
+
+
+@query(f"""SELECT user_id, field, arg_max_null(CASE WHEN x.value = '$' THEN CAST(event_id AS VARCHAR) ELSE x.value END, (ts, event_id)) AS value
+    FROM events JOIN (VALUES {_EFFECT_ROWS}) x(event_type, field, value) USING (event_type) GROUP BY ALL""")
+def event_fold(spark, sf):
+    """The fields that a user's events set, by a table of effects."""
+    e = table(spark, sf, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("seq"), F.col("event_id").cast("string").alias("payload"))
+    effects = spark.createDataFrame(_EFFECTS, "event_type string, field string, value string")
+    return verify.fold_events(e, effects, "user_id")
 
 
 @query("""SELECT CAST(floor((n - 1) / 32) AS BIGINT) AS batch, count(*) AS n, min(len) AS shortest, max(len) AS longest, CAST(sum(len) AS BIGINT) AS total
@@ -362,7 +368,9 @@ def text_batches(spark, sf):
 
 
 @query(rf"""SELECT repository, unnest(list_filter([CASE WHEN repository IS NULL OR trim(repository) = '' THEN 'no repository' END, CASE WHEN NOT coalesce(code_language IN {_LANGS}, false) THEN 'unknown language' END,
-    CASE WHEN license IS NULL OR trim(license) = '' THEN 'no licence' END, CASE WHEN coalesce(regexp_matches(source_root, '(^|/)\.\.(/|$)|^/'), false) THEN 'source root escapes' END], lambda x: x IS NOT NULL)) AS issue FROM corpus_manifests""")
+    CASE WHEN license IS NULL OR trim(license) = '' THEN 'no licence' END,
+    CASE WHEN len(list_filter(map_entries(retrieval_class_aliases), lambda e: NOT regexp_full_match(e.key, '[A-Za-z_][A-Za-z0-9_]*') OR NOT regexp_full_match(coalesce(e.value, ''), '[A-Za-z_][A-Za-z0-9_]*'))) > 0 THEN 'invalid alias' END,
+    CASE WHEN len(list_filter(dependencies, lambda d: d IS NULL OR trim(d) = '')) > 0 THEN 'empty dependency' END, CASE WHEN coalesce(regexp_matches(source_root, '(^|/)\.\.(/|$)|^/'), false) THEN 'source root escapes' END], lambda x: x IS NOT NULL)) AS issue FROM corpus_manifests""")
 def manifest_validation(spark, sf):
     return store.manifest_issues(table(spark, sf, "corpus_manifests"))
 

@@ -101,6 +101,29 @@ def context(text: str | None, line: int | None, language: str | None) -> dict |
     }
 
 
+_NODE = StructType([StructField("kind", StringType()), StructField("name", StringType()), StructField("line", IntegerType()), StructField("parent", StringType()), StructField("depth", IntegerType()), StructField("status", StringType())])
+
+
+def nodes(text: str | None, language: str | None) -> list[dict]:
+    """The declarations of a file as nodes of its tree: the type around each, how deep it is, whether it is a stub."""
+    if not text or language not in extract.GRAMMARS:
+        return []
+    raw, out, open_types = re.sub(r"\r\n?", "\n", text).split("\n"), [], []
+    for r in ranges(text, language):
+        open_types = [t for t in open_types if r.end <= t.end]
+        body = "\n".join(raw[r.start : r.end + 1])
+        stub = r.kind == "function" and bool(_unfinished.search(body))
+        out.append({"kind": r.kind, "name": r.name, "line": r.start + 1, "parent": open_types[-1].name if open_types else None, "depth": len(open_types), "status": "unimplemented" if stub else "implemented"})
+        if r.kind == "class":
+            open_types.append(r)
+    return out
+
+
+@F.pandas_udf(ArrayType(_NODE))
+def module_nodes(text: pd.Series, language: pd.Series) -> pd.Series:
+    return pd.Series([nodes(t, x) for t, x in zip(text, language)])
+
+
 _LISTS = ("imports", "fields", "members", "constraints")
 CONTEXT = StructType([StructField(c, ArrayType(StringType()) if c in _LISTS else StringType()) for c in ("name", "holder", "space", "imports", "fields", "constructor", "members", "constraints", "source", "status")])
 

@@ -162,6 +162,21 @@ def test_context_and_patch():
     assert context.context(python, 5, "Python")["constructor"] == "def __init__(self):"
 
 
+def test_nodes():
+    got = [(n["name"], n["parent"], n["depth"], n["status"]) for n in context.nodes(JAVA, "Java")]
+    assert got == [("Tank", None, 0, "implemented"), ("add", "Tank", 1, "unimplemented"), ("size", "Tank", 1, "implemented")] and context.nodes(None, "Java") == []
+
+
+def test_fold_and_tagged_compare(spark):
+    e = spark.createDataFrame([(1, "a", 1, "p"), (1, "b", 2, "q"), (2, "b", 3, "r"), (1, "?", 9, "z")], "k int, event_type string, seq int, payload string")
+    effects = spark.createDataFrame([("a", "x", "one"), ("a", "y", "$"), ("b", "x", None)], "event_type string, field string, value string")
+    assert {(r["k"], r["field"]): r["value"] for r in verify.fold_events(e, effects, "k").collect()} == {(1, "x"): None, (1, "y"): "p", (2, "x"): None}
+    side = lambda v: spark.createDataFrame([(str(i), "return", x, None) for i, x in enumerate(v)], "case_id string, outcome string, value string, exception string")
+    number = lambda x: json.dumps({"type": "list", "value": [{"type": "number", "value": x}]})
+    got = verify.compare(side([number(1.0), number(1.0), "plain"]), side([number(1.01), number(2.0), "plain"]), tolerance=0.1)
+    assert {r["case_id"]: r["verdict"] for r in got.collect()} == {"0": "pass", "1": "fail", "2": "pass"}
+
+
 def test_callers(spark):
     r = spark.createDataFrame([(1, "r", "go", "a.py", 1)], "request_id long, repository string, name string, path string, line int")
     f = spark.createDataFrame([("r", "a.py", "def go():\n  go()\n  went()"), ("r", "b.py", "x\r\ngo(go(1))\ngo (2)\ngo(3)"), ("q", "a.py", "go()"), ("r", "c.py", None)], "repository string, path string, file_text string")
