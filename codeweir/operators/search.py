@@ -92,7 +92,7 @@ def block_topk(queries: DataFrame, docs: DataFrame, k: int, block: int = 2048, q
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
     """queries(qid, tokens), docs(id, tokens) -> (qid, id, score, place): BM25, the best k a query. The tokens are made once,
     in a written table that statistics and search share."""
     docs = write_shared(docs.select("id", "tokens"))
@@ -102,7 +102,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     terms = queries.select("qid", F.explode("tokens").alias("t")).join(df, "t").crossJoin(F.broadcast(n)).select("qid", "t", idf.alias("x"))
     q = terms.groupBy("qid").agg(F.collect_list(F.struct("t", "x")).alias("e"))
     weight = (K1 + 1) / (1 + K1 * (1 - B + B * F.size("tokens") / F.col("avg")))
-    return block_topk(q, docs.crossJoin(F.broadcast(n)).select("id", "tokens", weight.alias("w")), k)
+    return block_topk(q, docs.crossJoin(F.broadcast(n)).select("id", "tokens", weight.alias("w")), k, block, 32 * block)
 
 
 def overlap_best(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
