@@ -5,14 +5,16 @@ spaced minimum of the features' hashes, ``1 - floor(log_b(x))``; registers of tw
 agree with a probability close to their similarity, so bands of registers make buckets. Inside a bucket no list of
 pairs is made: pivots meet the members of other components, then leave, until the bucket holds one component. A bucket
 in which, after its first pivots, more than ``MANY`` members are still outside the largest component is hot: it holds
-unlike records with a part in common. It is divided by further registers, once for each other band, so that its members
-meet only those they share that band with, too. Buckets thus live two rounds at each of at most ``DEEPEST`` levels,
-however many records they hold, and only one at the last level goes on by pivots alone. A pair is first estimated by the
-joint likelihood of its registers and sizes; what the estimate does not rule out is verified on the whole feature sets.
+unlike records with a part in common. The members of all hot buckets are joined exactly: their features are put in one
+order, the rarer first, and of two sets alike enough a feature in common stands early in both, so each is listed under
+its early features only, which the part in common seldom reaches. What is listed under a feature is a bucket again, in
+which a pair meets if as many features can follow as it needs; its pivots grow fourfold a round, and after ``DEEPEST``
+rounds all are taken. A pair is first estimated by the joint likelihood of its registers and sizes; what the estimate
+does not rule out is verified on the whole feature sets.
 
 Exact copies (equal feature sets) are one class from the start. With ``bands`` bands of ``rows`` registers a pair of
 similarity s shares a bucket with probability 1 - (1 - s**rows)**bands: 0.9987 at 0.6 with the defaults, above 0.9999
-from 0.65; a pair all of whose buckets are hot must share two bands, 0.989 at 0.6 and 0.9989 at 0.65. Class keys are 64-bit digests; N classes make about N**2 / 2**65 false copies.
+from 0.65, whether its buckets are hot or not. Class keys are 64-bit digests; N classes make about N**2 / 2**65 false copies.
 
 Defined cases: a null text, and one with fewer words than a run, has no features and is in no group; equal sets are
 alike whatever their size; repeated rows of a key count once; an empty table gives an empty result.
@@ -38,8 +40,10 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65535
 #: A pair is dropped unverified only if its estimate is this far below the threshold, five standard errors.
 SLACK = 0.18
 #: Members outside the largest component that a bucket may hold to be finished by pivots in one round; first pivots of a
-#: larger bucket; bands that a bucket is divided by at most.
+#: larger bucket; rounds after which a feature's bucket takes all its pivots at once.
 MANY, FIRST, DEEPEST = 64, 8, 5
+#: Counters that features are ordered by, 8 MB; two features may share one, which changes the order, not the result.
+COUNTERS = 1 << 20
 #: A list of at most so many nodes (1.6 MB) is broadcast.
 NODES = 200_000
 _words = re.compile(r"\w+").findall
@@ -140,7 +144,9 @@ def _band_hashes(registers: pd.Series, bands: int, rows: int) -> np.ndarray:
         return (_mix(h + (number + np.uint64(1)) * _M1) & ~np.uint64(63)) | number
 
 
-_BUCKETS = "bucket long, node long, used long"
+#: A member of a bucket; turn counts the bucket's rounds. Under a feature, n is the size of the member's set and room the
+#: number of its features from this one on.
+_BUCKETS = "bucket long, node long, turn int, n int, room int"
 
 
 def _shared(banded: DataFrame) -> DataFrame:
@@ -150,7 +156,7 @@ def _shared(banded: DataFrame) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, node, used) of the buckets with more than one node; used has a bit for each band of the bucket."""
+    """The members of the bands' buckets with more than one node."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -159,27 +165,50 @@ def _buckets(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
                 yield pd.DataFrame({"bucket": h.ravel().view(np.int64), "node": np.repeat(b["node"].to_numpy(), bands)})
 
     shared = _shared(nodes.select("node", "registers").mapInPandas(cut, "bucket long, node long"))
-    band = F.col("bucket").bitwiseAND(63).cast("int")
-    return shared.withColumn("used", F.call_function("shiftleft", F.lit(1).cast("long"), band))
+    none = F.lit(None).cast("int")
+    return shared.select("bucket", "node", F.lit(0).alias("turn"), none.alias("n"), none.alias("room"))
 
 
-def _divided(hot: DataFrame, nodes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, node, used) of hot buckets divided by every band they do not use yet. A bucket's key is the sum of its
-    bands' hashes, so the same set of bands, reached in another order, is the same bucket."""
+def _divided(hot: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    """The members of hot buckets under each of their early features. A pair as alike as the threshold has a feature in
+    common from which on both have room for the number they must share, so none is lost."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = 1 << np.arange(bands, dtype=np.int64)
-        for b in batches:
-            for at in range(0, len(b), 4096):
-                part = b.iloc[at : at + 4096]
-                used = part["used"].to_numpy()
-                with np.errstate(over="ignore"):
-                    keys = part["bucket"].to_numpy().view(np.uint64)[:, None] + _band_hashes(part["registers"], bands, rows)
-                row, band = np.nonzero((used[:, None] & bits[None, :]) == 0)
-                yield pd.DataFrame({"bucket": keys[row, band].view(np.int64), "node": part["node"].to_numpy()[row], "used": used[row] | bits[band]})
+    def slots(f: np.ndarray) -> np.ndarray:
+        return (f % np.uint64(COUNTERS)).astype(np.int64)
 
-    rows_of = hot.join(nodes.select("node", "registers"), "node").select("bucket", "node", "used", "registers")
-    return _shared(rows_of.mapInPandas(cut, _BUCKETS).dropDuplicates(["bucket", "node"]))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            if len(b):
+                counts += np.bincount(slots(np.frombuffer(b"".join(b["features"]), np.uint64)), minlength=COUNTERS)
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"slot": at, "c": counts[at]})
+
+    wanted = cut_lineage(hot.select("node").distinct())
+    few = wanted.count() <= NODES
+    sets = whole.select("node", "features").join(F.broadcast(wanted) if few else wanted, "node")
+    total = sets.select("features").mapInPandas(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[total["slot"].to_numpy(np.int64)] = total["c"].to_numpy(np.int64)
+
+    def early(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            keys, rooms, sizes = [], [], []
+            for data in b["features"]:
+                f = np.frombuffer(data, np.uint64)
+                c = counts[slots(f)]
+                order = np.lexsort((f, c))
+                room = len(f) - np.arange(len(f))
+                kept = (room + 1e-6 >= threshold * len(f)) & (c[order] > 1)  # one counted once is in no other set
+                keys.append(f[order[kept]].view(np.int64))
+                rooms.append(room[kept])
+                sizes.append(len(f))
+            times = [len(k) for k in keys]
+            yield pd.DataFrame({"bucket": np.concatenate(keys), "node": np.repeat(b["node"].to_numpy(), times), "turn": 0, "n": np.repeat(sizes, times), "room": np.concatenate(rooms)})
+
+    return _shared(sets.mapInPandas(early, _BUCKETS)).dropDuplicates(["bucket", "node"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
@@ -218,30 +247,44 @@ def near_duplicates(df: DataFrame, key: str = "id", text: str = "code", threshol
     made = write_shared(_sketched(df, key, text, run, bands * rows))
     members = made.select("k", "node").distinct()
     nodes = write_shared(made.select("node", "n", "registers").dropDuplicates(["node"]))
-    pending = cut_lineage(_buckets(nodes, bands, rows).withColumn("fresh", F.lit(True)))
+    pending = cut_lineage(_buckets(nodes, bands, rows))
     labels = links = None
+    rounds = 0  # no bucket has had more
+    # of a pair under a feature, the smaller set has room for twice its share; only such a member leads
+    lead = F.coalesce((1 + threshold) * F.col("room") + 1e-6 >= 2 * threshold * F.col("n"), F.lit(True))
+    fits = F.coalesce((1 + threshold) * F.least("room", "p_room") + 1e-6 >= threshold * (F.col("n") + F.col("p_n")), F.lit(True))
     while True:
         own = pending if labels is None else pending.join(labels, "node", "left")
-        own = own.select("bucket", "node", "used", "fresh", (F.col("node") if labels is None else F.coalesce("label", "node")).alias("label"))
-        parts = own.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-        state = parts.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("all")).where("parts > 1")
-        outside = (F.col("all") - F.col("most.size")).alias("outside")
-        rows_left = cut_lineage(own.join(state.select("bucket", F.col("most.label").alias("kept"), outside), "bucket"))
+        own = own.select("bucket", "node", "turn", "n", "room", (F.col("node") if labels is None else F.coalesce("label", "node")).alias("label"))
+        parts = own.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.count_if(lead).alias("leads"), F.max("n").alias("n"))
+        state = parts.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("all"), F.sum("leads").alias("leads"), F.max("n").isNull().alias("band"))
+        state = state.where("parts > 1 and leads > 0").withColumn("outside", F.col("all") - F.col("most.size"))
+        state = state.select("bucket", "band", F.col("most.label").alias("kept"), F.least("outside", "leads").alias("left"), (F.col("leads") < F.col("outside")).alias("by_leads"))
+        rows_left = cut_lineage(own.join(state, "bucket"))
         if rows_left.isEmpty():
             break
-        hot = ~F.col("fresh") & (F.col("outside") > many) & (F.bit_count("used") < DEEPEST)
-        divided = _divided(rows_left.where(hot), nodes, bands, rows).withColumn("fresh", F.lit(True))
+        hot = F.col("band") & (F.col("turn") > 0) & (F.col("left") > many)
+        members_of = rows_left.where(hot)
+        divided = None if members_of.isEmpty() else _divided(members_of, made, threshold)
         rows_left = rows_left.where(~hot)
-        # a fresh bucket has one pivot, a large one FIRST; later ones up to many members outside the largest component
+        # all that lead, or all outside the largest component, are pivots in the end: every other pair is of one component
+        # or does not fit. A fresh bucket has one pivot, a large one FIRST; later ones many, then four times as many a round
         order = Window.partitionBy("bucket").orderBy("node")
-        chosen = rows_left.where("label <> kept").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(many, FIRST))
-        chosen = chosen.where(F.col("_n") <= F.when(~F.col("fresh"), many).when(F.col("outside") > many, FIRST).otherwise(1))
-        rows_left = rows_left.join(chosen.select("bucket", "node", F.lit(True).alias("pivot")), ["bucket", "node"], "left").select("bucket", "node", "used", "label", F.coalesce("pivot", F.lit(False)).alias("pivot"))
-        pivots = rows_left.where("pivot").select("bucket", F.col("node").alias("p"), F.col("label").alias("p_label"))
-        met = rows_left.join(pivots, "bucket").where("label <> p_label")
+        grown = F.when(F.col("turn") > DEEPEST, F.col("left")).otherwise(many * F.pow(F.lit(4), F.col("turn") - 1))
+        allowed = F.when(F.col("turn") > 0, grown).when(F.col("left") > many, FIRST).otherwise(1)
+        chosen = rows_left.where(F.when(F.col("by_leads"), lead).otherwise(F.col("label") != F.col("kept"))).withColumn("_n", F.row_number().over(order))
+        if rounds <= DEEPEST:  # a plain number, which the window keeps to
+            chosen = chosen.where(F.col("_n") <= max(FIRST, many * 4 ** max(rounds - 1, 0)))
+        chosen = chosen.where(F.col("_n") <= allowed)
+        rows_left = rows_left.join(chosen.select("bucket", "node", F.lit(True).alias("pivot")), ["bucket", "node"], "left").select("bucket", "node", "turn", "n", "room", "label", F.coalesce("pivot", F.lit(False)).alias("pivot"))
+        pivots = rows_left.where("pivot").select("bucket", F.col("node").alias("p"), F.col("label").alias("p_label"), F.col("n").alias("p_n"), F.col("room").alias("p_room"))
+        met = rows_left.join(pivots, "bucket").where("label <> p_label").where(fits)
         pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         found = cut_lineage(_verified(pairs, nodes, made, threshold))
-        pending = rows_left.where("not pivot").select("bucket", "node", "used", F.lit(False).alias("fresh")).unionByName(divided)
+        rounds += 1
+        pending = rows_left.where("not pivot").select("bucket", "node", (F.col("turn") + 1).alias("turn"), "n", "room")
+        if divided is not None:
+            pending = pending.unionByName(divided)
         if links is not None and found.isEmpty():
             continue
         links = found if links is None else cut_lineage(links.unionByName(found).distinct())

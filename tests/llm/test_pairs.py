@@ -83,6 +83,26 @@ def test_hot_buckets_are_divided(spark, monkeypatch):
     assert len(rounds) <= 2 * neardup.DEEPEST + 2 and sum(split) > 0
 
 
+def test_hot_buckets_lose_no_pair(spark):
+    """One band only, so that a pair has no other bucket than a hot one: every pair that shares it is found."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(60)]
+    texts = {f"d{i:03}": [*common, *(f"w{rng.randint(0, 10**7)}" for _ in range(60 if i % 2 else 24))] for i in range(200)}
+    texts |= {f"e{i:03}": [*texts[f"d{i:03}"][:-6], *(f"x{i}y{j}" for j in range(6 + i % 9))] for i in range(0, 200, 4)}
+    texts |= {f"f{i}": [*common[:50], *(f"z{rng.randint(0, 9)}" for _ in range(40))] for i in range(40)}
+    rows = [(k, " ".join(v)) for k, v in texts.items()]
+    h, seeds = neardup.WordHashes(), neardup._seeds(1)
+    sets = {k: neardup.features(t, h) for k, t in rows}
+    band = {k: neardup.sketch(f, seeds)[0] for k, f in sets.items()}
+    alike = [(a, b) for a in sets for b in sets if a < b and band[a] == band[b] and neardup.similarity(sets[a], sets[b]) >= 0.6]
+    label = groups_of(alike)
+    want = {(a, b) for a in label for b in label if a < b and label[a] == label[b]}
+    assert len(want) > 20
+    df = spark.createDataFrame(rows, "id string, code string")
+    pairs = {tuple(r) for r in neardup.pairs_in_groups(neardup.near_duplicates(df, bands=1, rows=1, many=2)).collect()}
+    assert pairs == want
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((300, 8)).astype(np.float32)
