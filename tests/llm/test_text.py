@@ -251,6 +251,46 @@ def test_function_descriptions(spark):
     assert sorted((r["name"], "long" in r["declaration"]) for r in docpairs.pair(overloads).collect()) == [("add", False), ("add", True)]
 
 
+@pytest.mark.parametrize(
+    "language, whole",
+    [
+        ("java", "void run(" + ", ".join(f"Map<String, Integer> value{i}" for i in range(200)) + ") throws IOException {"),
+        ("c#", "public int Run(" + ", ".join(f"int value{i}" for i in range(300)) + ") {"),
+        ("typescript", "function run({ first, second }: { first: string }, " + ", ".join(f"value{i}: {{ a: number }}" for i in range(200)) + "): Promise<{ last: string }> {"),
+        ("typescript", "export function run<T extends { first: string }>(a: T): { last: T } {"),
+        ("go", "func (s *Store) Run(first interface{}, " + ", ".join(f"value{i} struct{{ a int }}" for i in range(200)) + ") (last map[string]interface{}, err error) {"),
+        ("rust", "pub fn run(" + ", ".join(f"value{i}: &[u8; 4]" for i in range(200)) + ") -> Vec<u8> where Last: Copy {"),
+        ("python", "def run(a={}, " + ", ".join(f"value{i}: dict[str, int] = {{1: 2}}" for i in range(200)) + ") -> Last:"),
+    ],
+)
+def test_declarations_are_whole(language, whole):
+    body = "\n  bodyword " * 50
+    for text in (f"{whole}{body}", f"x\n{whole}{body}\n{whole}{body}"):
+        for d in docpairs.declarations(text, language):
+            assert d.name in ("run", "Run") and d.head.strip() == whole.rstrip("{").strip()
+
+
+def test_declarations_that_never_end():
+    assert [d.head for d in docpairs.declarations("def f(a,\ndef g(b):\n  pass", "python")] == ["def f(a,\n", "def g(b):"]
+    assert [d.head for d in docpairs.declarations("func f(a int) int\nfunc g() {", "go")] == ["func f(a int) int", "func g() "]
+    assert [d.head for d in docpairs.declarations("void f(int a);\nint g() { }", "java")] == ["void f(int a)", "int g() "]
+    assert len(docpairs.declarations("def f(\n" * 20000, "python")) == 20000
+
+
+def test_a_word_late_in_a_declaration_is_told(spark):
+    """What a description repeats of the end of a long declaration is no news, nor is a body's word told."""
+    told = "The cobalt and the ember and the lagoon of it are used by the method."
+    args = ", ".join(f"value{i}: int" for i in range(200))
+    rows = [
+        ("r:a.py:1:late", "function", f"# {told}\ndef late({args}, cobalt, ember, lagoon):\n    pass"),
+        ("r:a.py:2:body", "function", f"# {told}\ndef body(a):\n    cobalt, ember, lagoon = a"),
+        ("r:a.ts:1:wrapped", "function", f"// {told}\nexport const wrapped = memo(({{ {args.replace(': int', '')}, cobalt, ember, lagoon }}) => {{ return 1; }});"),
+        ("r:a.ts:2:inner", "function", f"// {told}\nexport const inner = memo(({{ a }}) => {{ return cobalt + ember + lagoon; }});"),
+    ]
+    df = spark.createDataFrame([(i, k, {"py": "Python", "ts": "TypeScript"}[i[4:6]], i.split(":")[1], None, None, t, None) for i, k, t in rows], "id string, kind string, code_language string, path string, signature string, summary string, content string, preview string")
+    assert sorted(r["name"] for r in docpairs.pair(df).collect()) == ["body", "inner"]
+
+
 @pytest.mark.parametrize(
     "text, kinds",
     [
